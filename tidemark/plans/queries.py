@@ -569,3 +569,144 @@ def streamed_windows(spark, d):
     from tidemark.streaming.metrics import windowed_totals_once
 
     return windowed_totals_once(spark, d)
+
+
+# ------------------------------------------------------------------ backtest
+
+_SPLIT_SQL = f"""WITH {WORKS_SQL}, k AS (SELECT *, {_TITLE_SQL} AS title_key, count(*) OVER (PARTITION BY account) AS n, row_number() OVER (PARTITION BY account ORDER BY published, doc_id) AS r FROM works),
+s AS (SELECT *, CASE WHEN n >= 5 THEN r <= greatest(1, least(n - 1, ceil(n * 0.8))) ELSE ('0x' || left(sha256(doc_id::VARCHAR), 8))::BIGINT % 5 <> 0 END AS tr FROM k),
+h AS (SELECT * FROM s WHERE NOT tr), t AS (SELECT * FROM s WHERE tr AND (title_key = '' OR title_key NOT IN (SELECT title_key FROM h))),
+g AS (SELECT avg(reward) AS o FROM t), a AS (SELECT account, avg(reward) AS m FROM t GROUP BY ALL), c AS (SELECT category, avg(reward) AS m FROM t GROUP BY ALL),
+b AS (SELECT doc_id, reward, label, o, a.m AS am, c.m AS cm, {{cur}} AS current_rules, {{sem}} AS semantic_baseline FROM h LEFT JOIN a USING (account) LEFT JOIN c USING (category), g)"""
+_W = "CASE WHEN {a} + {c} <= 0 THEN o ELSE (coalesce(a.m, 0) * {wa} + coalesce(c.m, 0) * {wc} + o * greatest(0, 1 - ({a} + {c}))) / greatest(1, {a} + {c} + greatest(0, 1 - ({a} + {c}))) END"
+
+
+def _weighted(wa, wc):
+    return _W.format(a=f"(CASE WHEN a.m IS NULL THEN 0 ELSE {wa}::DOUBLE END)", c=f"(CASE WHEN c.m IS NULL THEN 0 ELSE {wc}::DOUBLE END)", wa=f"{wa}::DOUBLE", wc=f"{wc}::DOUBLE")
+
+
+_SPLIT_SQL = _SPLIT_SQL.format(cur=_weighted(0.25, 0.3), sem=_weighted(0.18, 0.25))
+
+
+def _baseline_scored(spark, d):
+    from tidemark.plans import backtest
+
+    rows = works(spark, d).withColumn("title_key", texts.title_key(F.col("text"))).drop("text")
+    split = ranking.time_holdout(rows, "account", "published", "doc_id")
+    held = split.where("split = 'eval'")
+    return backtest.baseline_scores(held, ranking.without_leaks(split.where("split = 'train'"), held, ["title_key"]), "reward")
+
+
+@query(f"{_SPLIT_SQL} SELECT doc_id, round(current_rules, 6) AS current_rules, round(semantic_baseline, 6) AS semantic_baseline FROM b")
+def baseline_strategies(spark, d):
+    return _baseline_scored(spark, d).select("doc_id", r6("current_rules", "current_rules"), r6("semantic_baseline", "semantic_baseline"))
+
+
+_METRICS_SQL = """, l AS (SELECT doc_id, reward, label, unnest([{picks}], recursive := true) FROM b),
+q AS (SELECT strategy, quantile_cont(reward, 0.25) AS lo, quantile_cont(reward, 0.75) AS hi FROM l GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY round(score, 9) DESC, doc_id) AS p, row_number() OVER (PARTITION BY strategy ORDER BY reward DESC, doc_id) AS i, count(*) OVER (PARTITION BY strategy) AS n FROM l),
+j AS (SELECT p.*, least(10, n) AS lim, CASE WHEN label IS NOT NULL THEN label WHEN reward >= hi THEN 'high' WHEN reward <= lo THEN 'low' ELSE 'mid' END AS lab, 2.0 ** greatest(0, least(5, reward / 20)) - 1 AS g FROM p JOIN q USING (strategy)),
+m AS (SELECT strategy, count(*) AS n, coalesce(sum(g / log2(p + 1)) FILTER (p <= 10) / nullif(sum(g / log2(i + 1)) FILTER (i <= 10), 0), 0) AS ndcg,
+  CASE WHEN avg(reward) > 0 THEN avg(reward) FILTER (p <= lim) / avg(reward) ELSE 0 END AS lift, count(*) FILTER (p <= lim AND lab = 'high') / max(lim) AS high_hit, (max(lim) - count(*) FILTER (p <= lim AND lab = 'low')) / max(lim) AS low_avoidance FROM j GROUP BY ALL)"""
+
+
+@query(_SPLIT_SQL + _METRICS_SQL.format(picks="{'strategy': 'current_rules', 'score': round(current_rules, 9)}, {'strategy': 'semantic_baseline', 'score': round(semantic_baseline, 9)}") + " SELECT strategy, n, round(ndcg, 6) AS ndcg, round(lift, 6) AS lift, round(high_hit, 6) AS high_hit, round(low_avoidance, 6) AS low_avoidance FROM m")
+def baseline_backtest(spark, d):
+    from tidemark.plans import backtest
+
+    rows = _baseline_scored(spark, d).withColumns({c: F.round(c, 9) for c in ("current_rules", "semantic_baseline")})
+    rep = backtest.strategy_report(rows, "doc_id", "reward", ["current_rules", "semantic_baseline"])
+    return rep.select("strategy", "n", *[r6(c, c) for c in ("ndcg", "lift", "high_hit", "low_avoidance")])
+
+
+_GRID = [{"current_rules": 1.0}, {"semantic_baseline": 1.0}, {"current_rules": 0.6, "semantic_baseline": 0.4}, {"current_rules": -0.2, "semantic_baseline": 1.2}]
+
+
+@query(_SPLIT_SQL + _METRICS_SQL.format(picks=", ".join(f"{{'strategy': 'w{i}', 'score': round(current_rules * {g.get('current_rules', 0.0)} + semantic_baseline * {g.get('semantic_baseline', 0.0)}, 9)}}" for i, g in enumerate(_GRID)))
+       + " SELECT strategy, round(lift + high_hit * 0.55 + low_avoidance * 0.15 + CASE WHEN lift >= 1.7 AND high_hit >= 0.7 THEN 0.3 ELSE 0 END, 6) AS objective FROM m")
+def tuning_grid(spark, d):
+    from tidemark.plans import backtest
+
+    rows = _baseline_scored(spark, d)
+    named = {f"w{i}": F.round(F.col("current_rules") * F.lit(g.get("current_rules", 0.0)) + F.col("semantic_baseline") * F.lit(g.get("semantic_baseline", 0.0)), 9) for i, g in enumerate(_GRID)}
+    rep = backtest.strategy_report(rows.withColumns(named), "doc_id", "reward", list(named))
+    bonus = F.when((F.col("lift") >= 1.7) & (F.col("high_hit") >= 0.7), 0.3).otherwise(0.0)
+    return rep.select("strategy", r6(F.col("lift") + F.col("high_hit") * 0.55 + F.col("low_avoidance") * 0.15 + bonus, "objective"))
+
+
+@query()
+def strategy_backtest(spark, d):
+    from tidemark.plans import backtest
+
+    w = works(spark, d).withColumn("reward", F.percent_rank().over(_by_category()) * 100)
+    rep = backtest.strategy_report(backtest.strategy_scores(w), "doc_id", "reward", backtest.STRATEGIES)
+    return rep.select("strategy", "n", *[r6(c, c) for c in ("ndcg", "hit_rate", "lift", "high_hit", "low_avoidance", "mae")])
+
+
+def _by_category():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("category").orderBy("reward", "doc_id")
+
+
+# ------------------------------------------------------------------ scores
+
+
+_PARTS_SQL = """p AS (SELECT l_orderkey, l_linenumber, (l_quantity * 2)::DOUBLE AS q, (l_discount * 1000)::DOUBLE AS dc, (l_tax * 1000)::DOUBLE AS tx, (l_suppkey % 101)::DOUBLE AS sp, (l_partkey % 97)::DOUBLE AS pk FROM lineitem)"""
+_COLD = "greatest(0, least(100, 0.28 * q + 0.24 * dc + 0.14 * tx + 0.14 * sp + 0.12 * pk + 0.08 * q - 0.08 * dc))"
+_POOL = "greatest(0, least(100, 0.36 * pk + 0.21 * q + 0.13 * dc + 0.11 * tx + 0.10 * sp + 0.09 * (CASE WHEN q BETWEEN 22 AND 48 THEN 92 WHEN q BETWEEN 18 AND 65 THEN 78 WHEN q BETWEEN 12 AND 80 THEN 62 ELSE 38 END) - 0.10 * dc))"
+
+
+@query(f"""WITH {_PARTS_SQL}, s AS (SELECT *, {_COLD}::DOUBLE AS cold, {_POOL}::DOUBLE AS pool FROM p),
+t AS (SELECT *, greatest(0, least(100, 0.23 * pool + 0.22 * sp + 0.17 * tx + 0.13 * dc + 0.10 * sp + 0.10 * q + 0.05 * tx - 0.09 * dc))::DOUBLE AS expa, greatest(0, least(100, 0.22 * dc + 0.20 * tx + 0.17 * tx + 0.15 * q + 0.12 * sp + 0.10 * q + 0.04 * dc - 0.07 * dc))::DOUBLE AS tail FROM s),
+u AS (SELECT *, greatest(0, least(100, 0.18 * cold + 0.26 * pool + 0.20 * expa + 0.14 * tail + 0.16 * (100 - tx) + 0.06 * pk))::DOUBLE AS score FROM t)
+SELECT l_orderkey, l_linenumber, round(cold, 6) AS cold_start, round(pool, 6) AS first_pool, round(expa, 6) AS expansion, round(tail, 6) AS long_tail, round(score, 6) AS simulated_score FROM u""")
+def simulated_stages(spark, d):
+    from tidemark.functions import scores
+
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("q"), (F.col("l_discount") * 1000).alias("dc"), (F.col("l_tax") * 1000).alias("tx"), (F.col("l_suppkey") % 101).cast("double").alias("sp"), (F.col("l_partkey") % 97).cast("double").alias("pk"))
+    q, dc, tx, sp, pk = (F.col(c) for c in ("q", "dc", "tx", "sp", "pk"))
+    parts = {"final": q, "topic_clarity": dc, "song_recognition": tx, "novelty_arrangement": sp, "audience_breadth": pk, "history_prior": q, "low_originality": dc, "short_video_hook": pk, "musical_moment": q, "chorus_climax": dc, "narrative_context": tx, "production_quality": sp,
+             "duration": scores.duration_score(q), "comment_trigger": sp, "audience_reaction": tx, "lyric_resonance": dc, "risk": 100 - tx, "diversity": pk}
+    s = scores.simulation(parts)
+    return li.select("l_orderkey", "l_linenumber", *[r6(s[c], c) for c in ("cold_start", "first_pool", "expansion", "long_tail", "simulated_score")])
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars * 200 >= 1000000 THEN 'L7' WHEN n_chars * 200 >= 500000 THEN 'L6' WHEN n_chars * 200 >= 100000 THEN 'L5' WHEN n_chars * 200 >= 50000 THEN 'L4' WHEN n_chars * 200 >= 10000 THEN 'L3' WHEN n_chars * 200 >= 5000 THEN 'L2' WHEN n_chars * 200 >= 1000 THEN 'L1' ELSE 'L0' END AS level FROM documents""")
+def view_levels(spark, d):
+    from tidemark.functions.classifiers import view_level
+
+    return read(spark, d, "documents").select("doc_id", view_level(F.col("n_chars") * 200).alias("level"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'performance_clip' WHEN doc_id % 5 = 1 THEN 'behind_the_scenes' ELSE 'unknown' END AS label, CASE doc_id % 5 WHEN 2 THEN 'missing' WHEN 3 THEN 'unmapped:' || source WHEN 4 THEN 'missing_or_unknown' ELSE '' END AS reason FROM documents""")
+def normal_labels(spark, d):
+    from tidemark.functions.classifiers import normal_label
+
+    m = F.col("doc_id") % 5
+    raw = F.when(m == 0, " Stage Clip ").when(m == 1, "behind-scenes").when(m == 3, F.col("source")).when(m == 4, "其他")
+    label, reason = normal_label("content_category", F.col("raw"))
+    return read(spark, d, "documents").withColumn("raw", raw).select("doc_id", label.alias("label"), reason.alias("reason"))
+
+
+@query("""WITH c AS (SELECT s_suppkey AS id, s_acctbal AS own FROM supplier WHERE s_suppkey % 2 = 0), v AS (SELECT n_nationkey AS nid, n_regionkey AS risk FROM nation WHERE n_nationkey % 3 <> 0)
+SELECT s_suppkey, coalesce(c.own, v.risk::DOUBLE) AS risk, CASE WHEN c.id IS NOT NULL THEN 'clip' WHEN v.nid IS NOT NULL THEN 'video' ELSE 'none' END AS scope FROM supplier LEFT JOIN c ON c.id = s_suppkey LEFT JOIN v ON v.nid = s_nationkey""")
+def rights_fallback(spark, d):
+    s = read(spark, d, "supplier")
+    own = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.struct(F.col("s_acctbal").alias("risk"), F.lit("clip").alias("scope")).alias("own"))
+    video = read(spark, d, "nation").where("n_nationkey % 3 != 0").select(F.col("n_nationkey").alias("nid"), F.struct(F.col("n_regionkey").cast("double").alias("risk"), F.lit("video").alias("scope")).alias("video"))
+    best = F.coalesce(F.col("own"), F.col("video"))
+    return s.join(own, F.col("id") == F.col("s_suppkey"), "left").join(video, F.col("nid") == F.col("s_nationkey"), "left").select("s_suppkey", best["risk"].alias("risk"), F.coalesce(best["scope"], F.lit("none")).alias("scope"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value, value / max(value) OVER (PARTITION BY user_id) AS energy, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - value AS delta FROM events),
+m AS (SELECT *, avg(energy) OVER (PARTITION BY user_id) AS mean FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY energy DESC, event_id) AS rank FROM m WHERE energy >= greatest(0.55, 1.35 * mean))
+SELECT user_id, event_id, round(energy, 6) AS energy, round(delta, 6) AS delta, rank FROM k WHERE rank <= 40""")
+def energy_peaks(spark, d):
+    from pyspark.sql import Window
+
+    from tidemark.sources.captures import peaks
+
+    w = Window.partitionBy("user_id")
+    e = read(spark, d, "events").withColumn("energy", F.col("value") / F.max("value").over(w)).withColumn("delta", F.lead("value").over(w.orderBy("ts", "event_id")) - F.col("value")).withColumn("time", F.col("event_id"))
+    return peaks(e, "user_id").select("user_id", "event_id", r6("energy", "energy"), r6("delta", "delta"), "rank")
