@@ -102,50 +102,61 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
         """Blocks that each text indexes, with half of the text's name: more owners than are due do no harm here."""
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, owners = [], []
+                rows: list[list[np.ndarray]] = [[], [], []]
                 for k, t in zip(part.column("k1").to_pylist(), part.column("text"), strict=True):
                     words = t.as_py().split()
                     if len(words) >= window:
                         at, g = window_blocks(word_hashes(words), window, block)
-                        own = g[np.unique(at)]
-                        hashes.append(own)
-                        owners.append(np.full(len(own), k, np.int64))
-                if hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners))], names=["block", "owner"])
+                        own, times = np.unique(g[np.unique(at)], return_counts=True)
+                        for column, x in zip(rows, (own.view(np.int64), np.full(len(own), k, np.int64), times > 1), strict=True):
+                            column.append(x)
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["block", "owner", "twice"])
 
     def parse(batches):
         """Windows of each text's factors: w1, w2, k1, k2, at, weight."""
+        last = None
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for k1, k2, t, held, n in zip(*(part.column(c) for c in ("k1", "k2", "text", "blocks", "copies")), strict=True):
-                    words, n = t.as_py().split(), n.as_py()
+                for k1, k2, t, held, copied in zip(*(part.column(c) for c in ("k1", "k2", "text", "blocks", "copied")), strict=True):
+                    k1, k2 = k1.as_py(), k2.as_py()
+                    if not held.is_valid or not len(held.values) or (k1, k2) == last:
+                        continue
+                    last = (k1, k2)
+                    words = t.as_py().split()
                     if len(words) < window:
                         continue
                     h = word_hashes(words)
-                    if n > 1:  # the whole text is a factor
-                        known = np.ones(len(h) - window + 1, bool)
-                    else:
-                        at, g = window_blocks(h, window, block)
-                        index = held.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                        known = np.isin(g[at], index)
-                    for a, b in greedy_factors(known, window):
-                        m = b - a - window + 1
-                        part_h = h[a:b]
-                        new = (gram_hashes(part_h, window, _B1).view(np.int64), (gram_hashes(part_h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(m, k1.as_py(), np.int64), np.full(m, k2.as_py(), np.int64), np.arange(a, a + m, dtype=np.int32), np.full(m, min(n, 2), np.int32))
+                    at, g = window_blocks(h, window, block)
+                    index = held.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    weight = 1 + (k2 in (copied.as_py() or ()))
+                    for a, b in greedy_factors(np.isin(g[at], index), window):
+                        m, part_h = b - a - window + 1, h[a:b]
+                        new = (gram_hashes(part_h, window, _B1).view(np.int64), (gram_hashes(part_h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(m, k1, np.int64), np.full(m, k2, np.int64), np.arange(a, a + m, dtype=np.int32), np.full(m, weight, np.int32))
                         for column, x in zip(rows, new, strict=True):
                             column.append(x)
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["w1", "w2", "k1", "k2", "at", "weight"])
 
     def remove(batches):
+        last = None
         for batch in batches:
             for part in slices(batch, "text"):
                 out: list[list] = [[], [], [], [], [], []]
-                for k1, k2, t, starts in zip(*(part.column(c) for c in ("k1", "k2", "text", "starts")), strict=True):
+                for k1, k2, t, copied, starts in zip(*(part.column(c) for c in ("k1", "k2", "text", "copied", "starts")), strict=True):
+                    k1, k2 = k1.as_py(), k2.as_py()
+                    if (k1, k2) == last:
+                        continue
+                    last = (k1, k2)
                     words = t.as_py().split()
                     spans: list[list[int]] = []
-                    for s in np.unique(starts.values.to_numpy(zero_copy_only=False)).tolist() if starts.is_valid else ():
+                    if k2 in (copied.as_py() or ()) and len(words) >= window:
+                        spans.append([0, len(words)])  # the whole text is another's
+                    elif starts.is_valid:
+                        own, at = (starts.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                        found = np.unique(at[own == k2]).tolist()
+                    for s in found if not spans and starts.is_valid else ():
                         if spans and s <= spans[-1][1]:
                             spans[-1][1] = s + window
                         else:
@@ -155,22 +166,22 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
                         kept += words[last:a]
                         last = b
                     kept += words[last:]
-                    for values, x in zip(out, (k1.as_py(), k2.as_py(), len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans), strict=True):
+                    for values, x in zip(out, (k1, k2, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans), strict=True):
                         values.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["k1", "k2", "n_words", "n_removed", "kept_sha256", "spans"])
 
     once = named.select("k1", "k2", "text").mapInArrow(_once, "k1 long, k2 long, text binary")
-    copies = named.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
-    blocks = once.mapInArrow(index_blocks, "block long, owner long")
-    again = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    held = blocks.join(again, "block").groupBy(F.col("owner").alias("k1")).agg(F.collect_set("block").alias("blocks"))
-    parsed = once.join(held, "k1", "left").join(copies, ["k1", "k2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    parsed = parsed.where("blocks is not null or copies > 1").select("k1", "k2", "text", "blocks", "copies")
-    windows = parsed.mapInArrow(parse, "w1 long, w2 int, k1 long, k2 long, at int, weight int")
+    copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = once.mapInArrow(index_blocks, "block long, owner long, twice boolean")
+    again = blocks.groupBy("block").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.max("twice").alias("t")).where("a != b or t").select("block")
+    held = blocks.join(again, "block").select(F.col("owner").alias("k1"), "block", F.lit(None).cast("long").alias("k2"))
+    notes = held.unionByName(copies.select("k1", F.lit(None).cast("long").alias("block"), "k2"))
+    notes = notes.groupBy("k1").agg(F.collect_set("block").alias("blocks"), F.collect_set("k2").alias("copied"))
+    lined = once.join(notes, "k1", "left")  # the one exchange of the texts
+    windows = lined.mapInArrow(parse, "w1 long, w2 int, k1 long, k2 long, at int, weight int")
     found = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
-    starts = windows.join(found, ["w1", "w2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("starts"))
-    done = once.join(starts.withColumnRenamed("k2", "__k2"), (F.col("k2") == F.col("__k2")) & (once["k1"] == starts["k1"]), "left").select(once["k1"], "k2", "text", "starts")
-    done = done.mapInArrow(remove, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>")
+    starts = windows.join(found, ["w1", "w2"]).groupBy("k1").agg(F.collect_list(F.struct("k2", "at")).alias("starts"))
+    done = lined.join(starts, "k1", "left").mapInArrow(remove, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>")
     done = done.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n_words", "n_removed", "kept_sha256", "spans")])
     return named.select("doc_id", "k1", "k2").join(done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
