@@ -135,10 +135,14 @@ class DedupIndex:
     def decisions(self) -> DataFrame:
         """One row for each hit: doc_id, text_sha256, digest, points, keep_id, group_size, kept."""
         strays = self.hits.where("other is not null")
-        best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id")))
-        groups = strays.groupBy("digest", "other").agg(best.alias("b"), F.count("*").alias("n"))
-        groups = groups.select("digest", "other", F.col("b.id").alias("sid"), (-F.col("b.p")).alias("sp"), "n")
-        out = self.hits.join(strays.groupBy("digest").agg(F.count("*").alias("less")), "digest", "left").join(groups, ["digest", "other"], "left")
+        if strays.isEmpty():  # no digest stands for two texts: the rule
+            none = F.lit(None)
+            out = self.hits.select("*", none.cast("long").alias("less"), none.cast("long").alias("sid"), none.cast("long").alias("sp"), none.cast("long").alias("n"))
+        else:
+            best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id")))
+            groups = strays.groupBy("digest", "other").agg(best.alias("b"), F.count("*").alias("n"))
+            groups = groups.select("digest", "other", F.col("b.id").alias("sid"), (-F.col("b.p")).alias("sp"), "n")
+            out = self.hits.join(strays.groupBy("digest").agg(F.count("*").alias("less")), "digest", "left").join(groups, ["digest", "other"], "left")
         alone, stray = F.col("rows").isNull(), F.col("other").isNotNull()
         pick = lambda one, own, shared: F.when(alone, one).when(stray, own).otherwise(shared)
         out = out.withColumn("keep_id", pick(F.col("doc_id"), F.col("sid"), F.col("keep_id"))).withColumn("keep_points", pick(F.col("points"), F.col("sp"), F.col("keep_points")))
