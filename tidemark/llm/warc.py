@@ -151,7 +151,7 @@ def records(source, size: int, wanted) -> Iterator[tuple[dict[str, str], bytes |
 
 
 class FilePartition(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str | None):
         self.path = path
 
 
@@ -179,7 +179,7 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(path, recursive=True)) if system.get_file_info(path).type == fs.FileType.Directory else [system.get_file_info(path)]
         base = self.path.rstrip("/").removesuffix(path.rstrip("/")) if "://" in self.path else ""
         names = sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
-        return [FilePartition(f"{base}{n}") for n in names]
+        return [FilePartition(f"{base}{n}") for n in names] or [FilePartition(None)]  # a source has one partition at least
 
     def _wanted(self, headers: dict[str, str]) -> int:
         if any(headers.get(name) not in values for name, values in self.tests):
@@ -187,6 +187,8 @@ class WarcReader(DataSourceReader):
         return 2 if self.payload else 1
 
     def read(self, partition):
+        if partition.path is None:
+            return
         system, path = filesystem(partition.path)
         rows, held = [], 0
         with system.open_input_file(path) as raw:
