@@ -26,7 +26,7 @@ def read_metric_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_works_json(spark: SparkSession, path: str) -> DataFrame:
     """A row for each work, as a map of text: file, idx, work.  A file is a list, or an object with one under a usual key."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     items = F.coalesce(F.from_json("value", "array<string>"), *[F.from_json(F.get_json_object("value", f"$.{k}"), "array<string>") for k in LIST_KEYS])
     return whole.select("file", F.posexplode(items).alias("idx", "item")).select("file", "idx", F.from_json("item", "map<string,string>").alias("work"))
 
@@ -43,7 +43,7 @@ def metric_windows(works: DataFrame, column: str = "work") -> DataFrame:
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages: a row for each visible work; files named latest and files without works are left out."""
     shape = "observed_at string, page struct<title:string,url:string>, account struct<nickname:string,profile_url:string>, visible_works array<struct<visible_count:string,title_tags_text:string,tags:array<string>>>"
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", shape).alias("p"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", shape).alias("p"))
     kept = files.where(~F.contains(F.lower("file"), F.lit("latest")) & (F.size(F.coalesce(F.col("p.visible_works"), F.array())) > 0))
     return kept.select("file", F.col("p.observed_at").alias("observed_at"), F.col("p.account.nickname").alias("account"), F.posexplode("p.visible_works").alias("idx", "w")).select("file", "observed_at", "account", "idx", "w.*")
 

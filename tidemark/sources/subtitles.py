@@ -22,7 +22,7 @@ def _seconds(text: Column) -> Column:
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """A row for each cue: file, idx (from 0), start, end, text; blocks without a time line or text are left out."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("body"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("body"))
     blocks = files.select("file", F.posexplode(F.split(F.regexp_replace("body", "^﻿", ""), r"\n\s*\n")).alias("idx", "block"))
     line = F.regexp_extract("block", r"[^\n]*-->[^\n]*", 0)
     ends = F.split(line, "-->")
@@ -44,6 +44,6 @@ def to_srt(df: DataFrame, key: str, order: str, start: str = "start", end: str =
 def read_asr_json(spark: SparkSession, path: str) -> DataFrame:
     """Pieces of speech-recognition output, times from offsets in milliseconds, else from time stamps: file, idx, start, end, text."""
     shape = "transcription array<struct<offsets:struct<from:double,to:double>,timestamps:struct<from:string,to:string>,text:string>>"
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.from_json("value", shape)["transcription"]).alias("idx", "p"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.from_json("value", shape)["transcription"]).alias("idx", "p"))
     at = lambda side: F.coalesce(F.col(f"p.offsets.{side}") / 1000, _seconds(F.col(f"p.timestamps.{side}")), F.lit(0.0))
     return rows.select("file", "idx", at("from").alias("start"), at("to").alias("end"), F.trim("p.text").alias("text")).where("text != ''")
