@@ -105,8 +105,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, pivo
     points = np.array(distinct, np.float64).reshape(len(distinct), size)
     prefix = min(prefix, max(1, len(points)))
     base, asked = base.where(F.size("v") == size), asked.where(F.size("v") == size)
-    counts = base.agg(F.count("*").alias("n")).crossJoin(asked.agg(F.count("*").alias("q"))).first()
-    blocks, chunks = max(1, -(-counts["n"] // BLOCK_ROWS)), max(1, -(-counts["q"] // CHUNK_ROWS))
+    blocks, chunks = max(1, -(-base.count() // BLOCK_ROWS)), max(1, -(-asked.count() // CHUNK_ROWS))
 
     def cell(index: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, join_by_key, slices
 
-#: Fingerprints from which the top of the tree is fitted, and the most shards.
-SAMPLE = 8_192
-MOST_SHARDS = 1_024
+#: Fingerprints for each shard from which the top of the tree is fitted, and the most shards; the sample is at most 262,144 numbers.
+SAMPLE_PER_SHARD = 64
+MOST_SHARDS = 4_096
 SHARD_ROWS = 8_192
 LEAF_ROWS = 96
 
@@ -173,7 +173,7 @@ def near_links(classes: DataFrame, count: int, radius: int = 2) -> DataFrame:
     shards = min(MOST_SHARDS, max(1, -(-count // SHARD_ROWS)))
     tree = 0
     if shards > 1:
-        drawn = classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
+        drawn = classes.orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_SHARD * shards).toPandas()["fp"].to_numpy(np.int64)
         tree = fit_tree(drawn.view(np.uint64), shards)
 
     def deal(batches):
@@ -223,7 +223,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay: the smallest identifier of each component."""
+    """The rows of ``docs``, with all their columns, that stay: the smallest identifier of each component.
+
+    Rows without an identifier can't be told apart by it, so they all stay, as do rows that repeat the one that stays.
+    """
     near = near_duplicates(docs, width, radius, seed, doc_id, text)
     gone = near.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, docs[doc_id].cast("long") == gone["__id"], "left_anti")

@@ -161,11 +161,11 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
                             spans[-1][1] = s + window
                         else:
                             spans.append([s, s + window])
-                    kept, last = [], 0
+                    kept, done = [], 0
                     for a, b in spans:
-                        kept += words[last:a]
-                        last = b
-                    kept += words[last:]
+                        kept += words[done:a]
+                        done = b
+                    kept += words[done:]
                     for values, x in zip(out, (k1, k2, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans), strict=True):
                         values.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
