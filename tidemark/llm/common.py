@@ -93,3 +93,20 @@ def join_by_key(rows: DataFrame, index: DataFrame, keys: list[str], size: str, t
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__width").isNull(), F.lit(0)).otherwise(F.pmod(salt_of, F.col("__width")).cast("int"))).drop("__width")
     spread = index.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1)))
     return salted.join(spread, [*keys, "__salt"], "left").drop("__salt")
+
+
+def splittable_join(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``index``, an aggregate by ``keys``, whose hot keys adaptive execution can split.
+
+    An aggregate is dealt by its keys already, so Spark would join it in the
+    stage that makes it, and a partition of such a stage can't be split.  One
+    more key, which follows from the others, gives both sides an exchange of
+    their own; a hot key's rows are then read by many tasks, each with the
+    index row.
+    """
+    named = index.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in index.columns if c not in keys])
+    more = lambda prefix: F.pmod(F.col(f"{prefix}{keys[-1]}"), F.lit(2))
+    same = more("") == more("__")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return rows.join(named, same).drop(*[f"__{k}" for k in keys])

@@ -13,8 +13,9 @@ occur again become duplicate spans.
 
 Equal texts are met once in each task and count as often as they occur.  All
 steps are one plan, so the exchange of the texts is made once and used again,
-a lost executor costs its partitions only, and skewed joins are split at run
-time (adaptive execution), as a passage may stand in a third of all texts.
+a lost executor costs its partitions only, and the joins are made such that
+adaptive execution can split them, as a passage may stand in a third of all
+texts.
 
 Defined results: a null text has no words; texts shorter than a window keep
 all words; repeated rows make each other's windows repeated; an empty table
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import slices, splittable_join
 
 WINDOW = 35
 BLOCK = 12
@@ -70,6 +71,11 @@ def greedy_factors(known: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1 + window) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def _low(name: int) -> int:
+    """The low 32 bits of a 64-bit name, signed; beside the other 64 bits they tell texts apart."""
+    return ((name + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)
+
+
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, text in UTF-8 and 128 bits (k1, k2) that name the text."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -114,7 +120,7 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["block", "owner", "twice"])
 
     def parse(batches):
-        """Windows of each text's factors: w1, w2, k1, k2, at, weight."""
+        """Windows of each text's factors: w1, w2, k1, name (the low 32 bits of k2), at, weight."""
         last = None
         for batch in batches:
             for part in slices(batch, "text"):
@@ -133,11 +139,11 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
                     weight = 1 + (k2 in (copied.as_py() or ()))
                     for a, b in greedy_factors(np.isin(g[at], index), window):
                         m, part_h = b - a - window + 1, h[a:b]
-                        new = (gram_hashes(part_h, window, _B1).view(np.int64), (gram_hashes(part_h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(m, k1, np.int64), np.full(m, k2, np.int64), np.arange(a, a + m, dtype=np.int32), np.full(m, weight, np.int32))
+                        new = (gram_hashes(part_h, window, _B1).view(np.int64), (gram_hashes(part_h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(m, k1, np.int64), np.full(m, _low(k2), np.int32), np.arange(a, a + m, dtype=np.int32), np.full(m, weight, np.int32))
                         for column, x in zip(rows, new, strict=True):
                             column.append(x)
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["w1", "w2", "k1", "k2", "at", "weight"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["w1", "w2", "k1", "name", "at", "weight"])
 
     def remove(batches):
         last = None
@@ -155,7 +161,7 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
                         spans.append([0, len(words)])  # the whole text is another's
                     elif starts.is_valid:
                         own, at = (starts.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                        found = np.unique(at[own == k2]).tolist()
+                        found = np.unique(at[own == _low(k2)]).tolist()
                     for s in found if not spans and starts.is_valid else ():
                         if spans and s <= spans[-1][1]:
                             spans[-1][1] = s + window
@@ -175,13 +181,13 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
     blocks = once.mapInArrow(index_blocks, "block long, owner long, twice boolean")
     again = blocks.groupBy("block").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.max("twice").alias("t")).where("a != b or t").select("block")
-    held = blocks.join(again, "block").select(F.col("owner").alias("k1"), "block", F.lit(None).cast("long").alias("k2"))
+    held = splittable_join(blocks, again, ["block"]).select(F.col("owner").alias("k1"), "block", F.lit(None).cast("long").alias("k2"))
     notes = held.unionByName(copies.select("k1", F.lit(None).cast("long").alias("block"), "k2"))
     notes = notes.groupBy("k1").agg(F.collect_set("block").alias("blocks"), F.collect_set("k2").alias("copied"))
     lined = once.join(notes, "k1", "left")  # the one exchange of the texts
-    windows = lined.mapInArrow(parse, "w1 long, w2 int, k1 long, k2 long, at int, weight int")
+    windows = lined.mapInArrow(parse, "w1 long, w2 int, k1 long, name int, at int, weight int")
     found = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
-    starts = windows.join(found, ["w1", "w2"]).groupBy("k1").agg(F.collect_list(F.struct("k2", "at")).alias("starts"))
+    starts = splittable_join(windows, found, ["w1", "w2"]).groupBy("k1").agg(F.collect_list(F.struct("name", "at")).alias("starts"))
     done = lined.join(starts, "k1", "left").mapInArrow(remove, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>")
     done = done.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n_words", "n_removed", "kept_sha256", "spans")])
-    return named.select("doc_id", "k1", "k2").join(done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return splittable_join(named.select("doc_id", "k1", "k2"), done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
