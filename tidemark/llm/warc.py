@@ -294,7 +294,7 @@ def archive_records(pages: DataFrame, least: int = 100, page_id: str = "page_id"
     large = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     large = checkpoint(large)  # digests that repeat, one row each
     total = large.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # the join needs no payload: what revisits is settled by page, digest and size
+    # the payload travels with its row: the record is written where the join has dealt it
     rows = _revisits(rows, large, total, least)
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
     name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
