@@ -380,6 +380,30 @@ def test_licenses(spark):
     assert license_matches(df.limit(0)).count() == 0
 
 
+def test_licenses_in_all_runs_of_words(spark):
+    """Wrapped, commented, inline and repeated notices, against brute force over every run of words."""
+    from tidemark.llm.licenses import BODIES, TEMPLATES, license_matches
+
+    rng = random.Random(3)
+    comment = lambda t, n: "\n".join("# " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = ["Released under the\n# MIT License.", f"{prose(rng, 20)} Released under the MIT License. {prose(rng, 20)}"]
+    rows += [f"{prose(rng, 8)}\n{comment(t, 4)}\n{prose(rng, 8)}" for t in TEMPLATES.values()]
+    rows += ["Released under the under the under the under the MIT license", "released under mit license, the MIT License", "under the mit released under the new MIT x License"]
+    rows += [f"Released under the MIT License. {prose(rng, 3)} " * 5, "licensed under the apache\nlicense version 3.0 or licensed under the Apache x License, version 2.0"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(2)
+    got = table(license_matches(df, TEMPLATES))
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    split = lambda s: re.sub(r"[\W_]+", " ", s.lower()).split()
+    own = {n: set(pairs(split(b))) for n, b in TEMPLATES.items()}
+    for i, t in enumerate(rows):
+        g = pairs(split(t))
+        best = max((2 * len(s & o) / (len(s) + len(o)), n) for a in range(len(g)) for b in range(a + 1, len(g) + 1) for s in [set(g[a:b])] for n, o in own.items())
+        assert got[i]["score"] == pytest.approx(best[0] if best[0] >= 0.8 else 0.0), t
+        assert (got[i]["license"], got[i]["n_lines"] > 0) == ((best[1], True) if best[0] >= 0.8 else (None, False)), t
+    bodies = spark.createDataFrame([(n, f"{prose(rng, 30)}\n{comment(b, 9)}\n{prose(rng, 30)}") for n, b in BODIES.items()], "doc_id string, text string")
+    assert [(r["doc_id"], r["license"], r["score"]) for r in license_matches(bodies).orderBy("doc_id").collect()] == [(n, n, 1.0) for n in sorted(BODIES)]
+
+
 # ------------------------------------------------------------------ language ID
 
 

@@ -1,20 +1,26 @@
 """License scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
 DataFrame functions only, and no shuffle.  A text is lower-cased, everything but
-letters, digits and line ends becomes a space, and each of its lines is compared
-with the templates over their sets of word bigrams.  With sizes a and b the
-coefficient is at most ``2 min(a, b) / (a + b)``; templates that stay below the
-threshold by size alone are not intersected.  Whole licence texts span lines:
-the whole text counts as one more line.
+letters, digits and line ends becomes a space, and every run of consecutive
+words, over line ends or within a line, is compared with the templates over
+their sets of word bigrams.
+
+Not every run is tried, but no better one is lost: a bigram at either end of a
+run that the template does not have, or that the run has twice, may go without
+loss.  So runs start at one of the template's bigrams and end where another of
+them comes for the first time after the start; the k-th such end has k of them
+in common.  A run is counted out only if ``2 k / (size + n)`` from a lower bound
+of its size can't win.
 
 A set that reaches the threshold lacks so few of a template's bigrams that it
 holds one of any choice of one more; texts with none of the templates' choices
 (the longest bigrams) are settled by one regular expression.
 
-Defined results: a null or empty text, and one whose lines have no two words,
-matches nothing (null licence, score 0, no lines); of equal scores the template
-that comes first by name stays; repeated rows are judged each; an empty table
-gives no rows.
+Defined results: a null or empty text, and one without two words, matches
+nothing (null licence, score 0, no lines); of equal scores the licence that
+comes first by name stays; n_lines counts the lines that hold a match of their
+own and is 1 where only a run over line ends matches; repeated rows are judged
+each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,14 +47,35 @@ TEMPLATES = {
 }
 
 
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "This {kind} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+
+#: Bodies of the short licences, and the headers that the long ones ask for in source files.
+BODIES = {
+    "AGPL-3.0": _GNU.format(kind="program", name="Affero General Public License", version="3"),
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause": f"{_BSD_2} {_AS_IS}",
+    "BSD-3-Clause": f"{_BSD_2} {_BSD_3} {_AS_IS}",
+    "GPL-2.0": _GNU.format(kind="program", name="General Public License", version="2"),
+    "GPL-3.0": _GNU.format(kind="program", name="General Public License", version="3"),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-2.1": _GNU.format(kind="library", name="Lesser General Public License", version="2.1"),
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
+
 def normalised(text):
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
 
 
 def word_bigrams(words):
-    """The set of bigrams of an array of words."""
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+    """The bigrams of an array of words, in order."""
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def _template_bigrams(text: str) -> list[str]:
@@ -56,41 +83,105 @@ def _template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _signal(sets: dict[str, list[str]], threshold: float) -> str:
+def _least(n: int, threshold: float) -> int:
+    """Bigrams that a set at the threshold shares with a template of ``n``."""
+    return math.ceil(n * threshold / (2 - threshold) - 1e-9)
+
+
+def _trie(words: list[str]) -> str:
+    """Pattern of the words, with common beginnings once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    end = heads.pop("", None) is not None
+    body = "|".join((r"[ \n]+" if c == " " else c) + (_trie(rest) if any(rest) else "") for c, rest in sorted(heads.items()))
+    return body if len(heads) == 1 and not end else f"(?:{body}){'?' if end else ''}"
+
+
+def _signal(sets: list[tuple[str, list[str]]], threshold: float) -> str:
     """Pattern of the bigrams of which every matching text has at least one."""
     chosen: set[str] = set()
-    for grams in sets.values():
-        shared = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
-        chosen.update(sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - shared + 1])
-    return r"(?:^|[ \n])(?:" + "|".join(g.replace(" ", r"[ \n]+") for g in sorted(chosen)) + r")(?:[ \n]|$)"
+    for _, grams in sets:
+        chosen.update(sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - _least(len(grams), threshold) + 1])
+    return r"(?:^|[ \n])" + _trie(sorted(chosen)) + r"(?:[ \n]|$)"
+
+
+def _let(value, use):
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _best_run(grams, repeats, hits, template, threshold: float):
+    """The greatest Dice coefficient of a run of ``grams`` with the template (n, least, most, own); null below the threshold.
+
+    ``hits`` are the places (i, g) of the templates' bigrams; ``repeats`` is by how much a run's length can exceed its size.
+    """
+    n, least, most = template["n"], template["least"], template["most"]
+
+    def ends(places, start):
+        """Runs (i, length, shared) from the place ``start`` on."""
+        near = F.filter(F.slice(places, start + 1, F.size(places)), lambda h: h["i"] - places[start]["i"] < most + repeats)
+
+        def of(near):
+            names = F.transform(near, lambda h: h["g"])
+            first = F.array_distinct(names)
+            last = lambda k: near[(F.array_position(names, first[k - 1]) - 1).cast("int")]["i"]
+            counts = F.when(F.size(first) >= least, F.sequence(least, F.size(first))).otherwise(F.array().cast("array<int>"))
+            return F.transform(counts, lambda k: F.struct(near[0]["i"].alias("i"), (last(k) - near[0]["i"] + 1).alias("length"), k.alias("shared")))
+
+        return F.flatten(F.transform(F.array(near), of))
+
+    def exact(run):
+        return 2 * run["shared"] / (F.size(F.array_distinct(F.slice(grams, run["i"] + 1, run["length"]))) + n)
+
+    def judged(runs):
+        """The run that may score most is counted first, then those that may score more than it did."""
+        first = exact(F.element_at(F.array_sort(runs, lambda a, b: F.when(a["bound"] > b["bound"], -1).when(a["bound"] < b["bound"], 1).otherwise(0)), 1))
+        return _let(first, lambda f: F.greatest(f, F.array_max(F.transform(F.filter(runs, lambda r: r["bound"] > f), exact))))
+
+    def with_bounds(places):
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - 1), lambda a: ends(places, a)))
+        bounded = F.transform(runs, lambda r: r.withField("bound", 2 * r["shared"] / (F.greatest(r["shared"], r["length"] - repeats) + n)))
+        return _let(F.filter(bounded, lambda r: r["bound"] >= threshold), lambda r: F.when(F.size(r) > 0, judged(r)))
+
+    mine = F.filter(hits, lambda h: F.array_contains(template["own"], h["g"]))
+    found = _let(mine, lambda places: F.when(F.size(F.array_distinct(F.transform(places, lambda h: h["g"]))) >= least, with_bounds(places)))
+    return _let(found, lambda x: F.when(x >= threshold, x))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, license (its best match at the threshold or above, else null), score, n_lines (matching lines)."""
-    sets = {name: grams for name, body in sorted((templates or TEMPLATES).items()) if (grams := _template_bigrams(body))}
-    least = min(map(len, sets.values())) * threshold / (2 - threshold)
-    most = max(map(len, sets.values())) * (2 - threshold) / threshold
-
-    def best(grams):
-        """The best (score, -place, licence) for a set of bigrams; null where none reaches the threshold."""
-        found = F.lit(None).cast("struct<score:double,rank:int,license:string>")
-        for k, (name, own) in enumerate(sets.items()):
-            size, n = F.size(grams), len(own)
-            bound = 2 * F.least(size, F.lit(n)) / (size + n) >= threshold
-            dice = F.when(bound, 2 * F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in own]))) / (size + n))
-            new = F.struct(dice.alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("license")).cast("struct<score:double,rank:int,license:string>")
-            found = F.greatest(found, F.when(dice >= threshold, new))
-        return found
+    given = [*TEMPLATES.items(), *BODIES.items()] if templates is None else templates.items()
+    sets = [(name, grams) for name, body in sorted(given) if (grams := _template_bigrams(body))]
+    every = sorted({g for _, grams in sets for g in grams})
+    signal, names = _signal(sets, threshold), F.array(*[F.lit(name) for name, _ in sets])
+    known = F.array(*[F.struct(F.lit(len(own)).alias("n"), F.lit(_least(len(own), threshold)).alias("least"), F.lit(math.floor(len(own) * (2 - threshold) / threshold + 1e-9)).alias("most"), F.split(F.lit("\n".join(own)), "\n").alias("own")) for _, own in sets])
+
+    def top(scores):
+        most = F.array_max(scores)
+        at = F.array_position(scores, most).cast("int")
+        return F.when(most.isNotNull(), F.struct(most.alias("score"), (-at).alias("rank"), names[at - 1].alias("license")))
+
+    def best(part):
+        """The best (score, -place, licence) in a text; null where none reaches the threshold."""
+
+        def among(grams):
+            hits = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda h: h["g"].isin(every))
+            repeats = F.size(grams) - F.size(F.array_distinct(grams))
+
+            def of(part):
+                return _let(F.transform(known, lambda t: _best_run(grams, part["repeats"], part["hits"], t, threshold)), top)
+
+            return _let(F.struct(repeats.alias("repeats"), hits.alias("hits")), of)
+
+        return _let(word_bigrams(F.split(F.trim(F.regexp_replace(part, r"[ \n]+", " ")), " ")), among)
 
     body = F.col("__body")
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("__body"))
     empty = F.array().cast("array<string>")
-    lines = F.concat(F.split(body, "\n"), F.when(F.contains(F.rtrim(body), F.lit("\n")), F.array(F.translate(body, "\n", " "))).otherwise(empty))
-    rows = rows.select("doc_id", F.when(body.rlike(_signal(sets, threshold)), lines).otherwise(empty).alias("__lines"))
-    # a set has at most a bigram for each space of the line: short ones go before any set is made
-    lines = F.filter("__lines", lambda x: F.length(F.regexp_replace(F.trim(x), "[^ ]", "")) >= least)
-    words = F.transform(lines, lambda x: F.split(F.trim(x), " "))
-    grams = F.filter(F.transform(words, word_bigrams), lambda g: (F.size(g) >= least) & (F.size(g) <= most))
-    rows = rows.select("doc_id", F.filter(F.transform(grams, best), lambda m: m.isNotNull()).alias("__m"))
+    # the whole text first, then its lines if it has more than one
+    lines = F.when(F.contains(body, F.lit("\n")), F.filter(F.split(body, "\n"), lambda x: x.rlike(signal))).otherwise(empty)
+    rows = rows.select("doc_id", F.when(body.rlike(signal), F.concat(F.array(body), lines)).otherwise(empty).alias("__parts"))
+    rows = rows.select("doc_id", F.filter(F.transform("__parts", best), lambda m: m.isNotNull()).alias("__m"))
     found = F.array_max("__m")
-    return rows.select("doc_id", found["license"].alias("license"), F.coalesce(found["score"], F.lit(0.0)).alias("score"), F.size("__m").cast("long").alias("n_lines"))
+    return rows.select("doc_id", found["license"].alias("license"), F.coalesce(found["score"], F.lit(0.0)).alias("score"), F.when(F.size("__m") > 0, F.greatest(F.size("__m") - 1, F.lit(1))).otherwise(0).cast("long").alias("n_lines"))
