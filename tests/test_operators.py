@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import baselines, dedupe, joins, ranking, transcripts
@@ -89,3 +90,40 @@ def test_merge_stops_at_gap_tag_and_length(spark):
 def test_merge_of_many_keys_in_one_partition(spark):
     df = spark.range(200).select((F.col("id") % 50).alias("k"), F.col("id").alias("o"), (F.col("id") * 100.0).alias("start"), (F.col("id") * 100.0 + 1).alias("end"), F.lit("t").alias("t"), F.lit("g").alias("g"))
     assert transcripts.merge_adjacent(df, "k", "o", "start", "end", "t", "g").count() == 200
+
+
+@pytest.mark.parametrize("n_train", [30, 900])
+def test_similar_history_against_plain_python(spark, n_train):
+    """Candidates by rare tokens and by fields, with the fall-backs for small tables and rows without tokens."""
+    from collections import Counter
+
+    from tidemark.plans.backtest import FIELD_BONUS, FIELD_POSTINGS, similar_history, with_asked
+
+    rng, limit = random.Random(4), 40
+    schema = "id long, account string, category string, hook string, tokens array<string>"
+    make = lambda i: (i, f"a{min(rng.randrange(9), 4)}", rng.choice(["x", "y", None, " X"]), rng.choice(["h", "k", ""]), [] if i % 11 == 0 else ["common", *rng.sample([f"t{j}" for j in range(150)], 3)])
+    held, train = [make(i) for i in range(40)], [make(1000 + i) for i in range(n_train)]
+    key = lambda v: (v or "").strip().lower()
+    names = ["account", "category", "hook"]
+    posts = Counter(t for r in train for t in r[4])
+    longest = max(80, min(420, len(train) // 8))
+    want = {}
+    for r in held:
+        score = Counter()
+        for s in train:
+            n = sum(posts[t] <= longest for t in set(r[4]) & set(s[4])) + sum(FIELD_POSTINGS[f] for i, f in enumerate(names, 1) if key(r[i]) and key(r[i]) == key(s[i]))
+            if n or len(train) <= limit or not r[4]:
+                score[s[0]] = n
+        chosen = sorted(score, key=lambda s: (-score[s], s))
+        for s in chosen if len(train) <= limit or not r[4] else chosen[:limit]:
+            o = train[s - 1000]
+            both = len(set(r[4]) & set(o[4]))
+            sim = both / max(1, len(set(r[4])) + len(set(o[4])) - both) + sum(b for f, b in FIELD_BONUS.items() if f in names and key(r[names.index(f) + 1]) and key(r[names.index(f) + 1]) == key(o[names.index(f) + 1]))
+            if sim > 0:
+                want[r[0], s] = min(1.0, sim)
+    h, t = spark.createDataFrame(held, schema), spark.createDataFrame(train, schema)
+    got = {(r["target"], r["sample"]): r["similarity"] for r in similar_history(h, t, "id", "tokens", limit).where("similarity > 0").collect()}
+    assert got == pytest.approx(want)
+    asked = {r["id"]: r["asked"] for r in with_asked(h, "id", "tokens").collect()}
+    for r in held:
+        assert asked[r[0]] == (r[0] if r[4] else min(o[0] for o in held if not o[4] and o[1:4] == r[1:4]))
