@@ -430,6 +430,18 @@ def test_language_id_without_labels(docs):
     assert {r["lang_pred"] for r in predicted_languages(bare).collect()} == {"und"}
 
 
+def test_language_id_fits_every_label_to_different_texts(spark, monkeypatch):
+    from tidemark.llm import gru_langid
+
+    seen = {}
+    monkeypatch.setattr(gru_langid.ByteGru, "fit", lambda self, windows, labels, *rest: seen.update(windows=windows, labels=labels) or self)
+    rows = [(i, f"text {i} of many", f"l{i % 70:02}") for i in range(700)] + [(1000 + i, f"copy {i % 3}", "l00") for i in range(3000)]
+    net = gru_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert net.langs == [f"l{i:02}" for i in range(70)]
+    first = {bytes(w).rstrip(b"\0").decode() for w, k in zip(seen["windows"], seen["labels"], strict=True) if k == 0}
+    assert len(first) > 3 and {"copy 0", "copy 1", "copy 2"} < first
+
+
 def test_gru_gradients():
     from tidemark.llm.gru_langid import ByteGru
 

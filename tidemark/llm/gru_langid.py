@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
 
-#: Bounds of the fit: documents drawn for each language, windows for each of them, languages.
-FIT_DOCS, FIT_WINDOWS, FIT_LANGS = 400, 4, 64
+#: Bounds of the fit: different texts drawn for each language, windows for each of them. Languages have no bound.
+FIT_DOCS, FIT_WINDOWS = 400, 4
 HIDDEN = 6
 SPAN = 64
 STEPS, BATCH = 500, 192
+#: Languages for which STEPS are taken; more languages get more steps.
+STEP_LANGS = 64
 UNDETERMINED = "und"
 
 
@@ -158,26 +160,25 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", span: int = SPAN) -> ByteGru | None:
-    """The network fitted to at most FIT_DOCS documents a language, FIT_WINDOWS windows each, drawn by hash of the text."""
+    """The network fitted to every label, to at most FIT_DOCS different texts each and FIT_WINDOWS windows of a text, drawn by hash of the text."""
     body = F.encode(F.col(text), "utf-8")
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & (F.octet_length(body) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("h"), F.octet_length(body).alias("size"), body.alias("body"))
+    drawn = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= FIT_DOCS).drop("r")
     pieces = []  # windows at places that the hash names, so no text travels whole
     for k in range(FIT_WINDOWS):
         start = F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.col("size") - span, F.lit(0)) + 1)
         pieces.append(F.substring(F.col("body"), start.cast("int") + 1, F.lit(span)).alias(f"w{k}"))
-    rows = rows.select("lang", "h", *pieces)
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGS).collect()]
-    found: list[tuple[int, bytes]] = []
-    langs.sort()
-    for i, name in enumerate(langs):
-        for r in rows.where(F.col("lang") == name).orderBy("h").limit(FIT_DOCS).collect():
-            found += [(i, bytes(r[f"w{k}"])) for k in range(FIT_WINDOWS)]
+    rows = rows.join(F.broadcast(drawn), ["lang", "h"], "left_semi").select("lang", "h", *pieces).dropDuplicates(["lang", "h"])
+    picked = sorted(rows.collect(), key=lambda r: (r["lang"], r["h"]))
+    langs = sorted({r["lang"] for r in picked})
+    place = {name: i for i, name in enumerate(langs)}
+    found = [(place[r["lang"]], bytes(r[f"w{k}"])) for r in picked for k in range(FIT_WINDOWS)]
     if not found:
         return None
     windows = np.zeros((len(found), span), np.uint8)
     for row, (_, w) in zip(windows, found, strict=True):
         row[: len(w)] = np.frombuffer(w, np.uint8)
-    return ByteGru(langs).fit(windows, np.array([i for i, _ in found]))
+    return ByteGru(langs).fit(windows, np.array([i for i, _ in found]), STEPS * -(-len(langs) // STEP_LANGS))
 
 
 def label_texts(net: ByteGru, texts: list[bytes], span: int = SPAN, block: int = 2048) -> tuple[list[str], list[float]]:
