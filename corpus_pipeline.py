@@ -10,10 +10,16 @@ from tidemark.llm.common import shared_folder
 from tidemark.llm.queries import tokenizer_path
 
 
+#: Least score of a kept document: the network gives its language more than all others together.
+LEAST_SCORE = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language the network can't tell: no letters, no text."""
+    """Documents without letters go, and those whose language the network scores below LEAST_SCORE; without a fitted network all with letters stay."""
     judged = gru_langid.predicted_languages(docs, keep=tuple(docs.columns))
-    return judged.where(F.col("__lang") != gru_langid.UNDETERMINED).drop("__lang", "__score")
+    unfitted = (F.col("__lang") == gru_langid.UNDETERMINED) & (F.col("__score") == 0)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return judged.where(letters & (unfitted | (F.col("__score") >= LEAST_SCORE))).drop("__lang", "__score")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -590,3 +590,15 @@ def test_stages_keep_the_columns(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, data).columns == docs.columns
+
+
+def test_language_stage_rejects_by_score_and_keeps_without_labels(spark, monkeypatch):
+    import corpus_pipeline
+    from tidemark.llm import gru_langid
+
+    docs = spark.createDataFrame([(1, "clean text", None, "s", 10), (2, "12 ?!", None, "s", 5), (3, None, None, "s", 0), (4, "zz", None, "s", 2)], DOCS)
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect())
+    assert kept() == [1, 4]
+    scored = docs.withColumn("__lang", F.when(F.col("doc_id").isin(1, 4), "en").otherwise("und")).withColumn("__score", F.when(F.col("doc_id") == 1, 0.9).when(F.col("doc_id") == 4, 0.3).otherwise(0.0))
+    monkeypatch.setattr(gru_langid, "predicted_languages", lambda *a, **k: scored)
+    assert kept() == [1]
