@@ -74,12 +74,25 @@ def test_mixing_targets_and_copies(spark):
     assert mixed == Counter({r["doc_id"]: r["copies"] for r in plan if r["copies"]})
 
 
+def test_mixing_of_repeated_rows_comes_near_the_target(spark):
+    from tidemark.llm import mixing
+
+    rows = [(1, "a b c d e", None, "a", 0)] * 200 + [(2, "a b c", None, "b", 0)] * 100 + [(i, "x y", None, "b", 0) for i in range(3, 20)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    plans = [mixing.mixing_plan(x).collect() for x in (df, df.repartition(3))]
+    assert sorted(map(tuple, plans[0])) == sorted(map(tuple, plans[1]))
+    taken = sum(r["taken"] for r in plans[0] if r["doc_id"] == 1)
+    target = next(r["target"] for r in plans[0] if r["doc_id"] == 1)
+    assert abs(taken - target) < 0.1 * target
+    assert mixing.mixed_documents(df).count() == sum(r["copies"] for r in plans[0])
+
+
 def test_mixing_edges(spark, docs):
     from tidemark.llm import mixing
 
     assert mixing.mixing_plan(docs.limit(0)).count() == 0
     assert mixing.mixing_plan(docs.where("text is null or text = ''")).agg(F.sum("taken")).first()[0] == 0
-    clash = docs.withColumn("target", F.lit("t")).withColumn("size", F.lit(1)).withColumn("weight", F.lit(0))
+    clash = docs.withColumn("target", F.lit("t")).withColumn("size", F.lit(1)).withColumn("weight", F.lit(0)).withColumn("__size", F.lit(5)).withColumn("__nth", F.lit(5))
     assert mixing.mixing_plan(clash).count() == docs.count()
     assert mixing.mixed_documents(clash).columns == clash.columns
 
@@ -186,14 +199,33 @@ def test_simhash_components(docs, texts):
     want = brute_components(prints)
     assert [got[i]["component_id"] for i in range(len(texts))] == want
     assert sorted(r["doc_id"] for r in drop_near_duplicates(docs).collect()) == sorted(set(want))
-    assert near_duplicates(docs.limit(0)).count() == 0
+    assert near_duplicates(docs.limit(0)).count() == 0 == drop_near_duplicates(docs.limit(0)).count()
 
 
-@pytest.mark.parametrize("shard_rows", [40, 8192])
-def test_vantage_point_shards_lose_no_link(spark, monkeypatch, shard_rows):
+@pytest.mark.parametrize("broadcast", [400_000, 0])
+def test_near_duplicates_are_told_apart_by_id_and_text(spark, monkeypatch, broadcast):
+    from tidemark.llm import simhash
+
+    monkeypatch.setattr(simhash, "BROADCAST_MARKS", broadcast)
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (1, a), (7, c), (7, c.upper()), (None, a), (None, "alone " + b[:9]), (9, None)]
+    df = spark.createDataFrame([(*r, None, None, 0) for r in rows], DOCS).withColumn("__stays", F.lit(1)).withColumn("root", F.lit("x"))
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    seven = [t for i, t in got if i == 7]
+    assert len(seven) == 1 and seven[0] in (c, c.upper())
+    assert [g for g in got if g[0] != 7] == sorted([(1, a), (5, b), (None, "alone " + b[:9]), (9, None)], key=str)
+
+
+@pytest.mark.parametrize(("shard_rows", "most"), [(40, 4096), (8192, 4096), (12, 3)])
+def test_vantage_point_shards_lose_no_link(spark, monkeypatch, shard_rows, most):
     from tidemark.llm import simhash
 
     monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(simhash, "MOST_SHARDS", most)  # 3: shards are split by trees of their own
+    monkeypatch.setattr(simhash, "TOO_LARGE", 2)
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(150)]
     for _ in range(250):  # chains and clusters of neighbours
@@ -262,7 +294,14 @@ def test_nearest_neighbours_edges(spark):
     from tidemark.llm.permutation_ann import nearest_neighbours
 
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0])], "vec_id long, embedding array<float>")
-    assert [(r["query_id"], r["vec_id"]) for r in nearest_neighbours(df, df.where("vec_id < 2")).orderBy("query_id").collect()] in ([(0, 1), (1, 0)], [])
+    assert [(r["query_id"], r["vec_id"]) for r in nearest_neighbours(df, df.where("vec_id < 2")).orderBy("query_id").collect()] == [(0, 1), (1, 0)]
+    rng = np.random.default_rng(6)  # every length takes part, also one that few have, and repeated and null identifiers
+    rows = [(i, rng.normal(size=2 + (i % 50 == 0)).tolist()) for i in range(200)] + [(0, [5.0, 5.0]), (None, [1.0, 1.0])]
+    mixed = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("turn", F.lit("x"))
+    got = defaultdict(set)
+    for r in nearest_neighbours(mixed, mixed.where("vec_id % 50 = 0 or vec_id % 51 = 0"), k=3).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert got[50] == {0, 100, 150} and len(got[51]) == 3 and set(got) == {0, 50, 100, 150, 51, 102, 153}
     assert nearest_neighbours(df.limit(0), df).count() == 0
 
 
@@ -272,10 +311,23 @@ def test_nearest_neighbours_over_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
     one = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), k=3).collect()}
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "FILE_ROWS", 100)
     monkeypatch.setattr(ann, "CHUNK_ROWS", 7)
     many = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), k=3).collect()}
     assert sum(one[k] == many[k] for k in one) >= 0.9 * len(one) == 0.9 * len(many)
+    monkeypatch.setattr(ann, "LEAST_PER_PIVOT", 8)
+    monkeypatch.setattr(ann, "ASK_LEAST", 1)
+    monkeypatch.setattr(ann, "ASK_SHARE", 0.01)
+    monkeypatch.setattr(ann, "POST", 1)
+    monkeypatch.setattr(ann, "WAVE_LEAST", 1000)
+    far = ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), k=40)  # one file holds fewer, so all are asked
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    got = defaultdict(list)
+    for r in far.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert all(len(v) == 40 for v in got.values()) and len(got) == 15
+    want = brute_nearest(rows, set(got), 40)
+    assert sum(got[q] == [i for _, i in want[q]] for q in got) >= 10
 
 
 # ------------------------------------------------------------------ URL rules
@@ -522,10 +574,12 @@ def test_warc_reads_back_texts_and_pushes_filters(spark, pages, tmp_path):
 
     back = archived(pages, f"file://{tmp_path}/w")
     html = {r["page_id"]: r["html"] or "" for r in pages.collect()}
-    found = {int(r["record_id"].rsplit(":", 1)[1]): r for r in back.collect()}
+    number = lambda r: int(r["record_id"].rsplit(":", 1)[1].rstrip(">"))
+    found = {number(r): r for r in back.collect()}
     assert all(bytes(r["payload"] or b"").decode() == html[i] for i, r in found.items() if r["record_type"] == "response")
     assert found[9]["target_uri"] == "http://c/X: y"
-    assert {int(r["record_id"].rsplit(":", 1)[1]) for r in back.where("record_type = 'revisit'").collect()} == {5, 9}
+    assert {number(r) for r in back.where("record_type = 'revisit'").collect()} == {5, 9}
+    assert found[5]["record_id"] == "<urn:page:5>" and found[5]["headers"]["WARC-Date"].endswith("Z")
     assert back.where(F.col("headers")["WARC-Target-URI"] == "http://a/").count() == 1
     bare = spark.read.format("warc").option("path", f"file://{tmp_path}/w").option("payload", "false").load()
     assert bare.where("payload is not null").count() == 0 and bare.count() == len(html)
@@ -550,6 +604,34 @@ def test_warc_formats(tmp_path):
         assert len(some) == 1 and some[0][1] == every[3][1]
 
 
+def test_warc_loses_no_record(spark, tmp_path, monkeypatch):
+    """Several records in a gzip member, records over members, lower-case names, truncated files, files in several partitions."""
+    import gzip
+    import io
+
+    from tidemark.llm import warc
+
+    one = [warc.record("response", {"WARC-Record-ID": f"<urn:page:{i}>"}, bytes([65 + i]) * (9000 + i)) for i in range(4)]
+    whole = b"".join(one)
+    read = lambda b, want=2, **k: list(warc.records(io.BytesIO(b), len(b), lambda h: want, **k))
+    for data in (gzip.compress(whole), gzip.compress(whole[:12_345]) + gzip.compress(whole[12_345:]) + b"\0" * 700, whole.replace(b"Content-Length", b"content-length").replace(b"WARC-Record-ID", b"warc-record-id")):
+        assert [(h["WARC-Record-ID"], p) for h, p in read(data)] == [(f"<urn:page:{i}>", bytes([65 + i]) * (9000 + i)) for i in range(4)]
+        assert len(read(data, 1)) == 4 and read(data, 0) == []
+    own = b"".join(map(warc.member, one))
+    cut = [whole[:-30], whole[:30], gzip.compress(whole)[:-40], own[:-20], b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx", whole + b"junk\r\n\r\n"]
+    for data in cut:
+        for want in (0, 1, 2):
+            with pytest.raises((ValueError, warc.zlib.error)):
+                read(data, want)
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 50)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.warc.gz").write_bytes(own)
+    parts = warc.WarcReader({"path": f"file://{tmp_path}/d"}, None).partitions()
+    assert len(parts) == -(-len(own) // 50)
+    rows = [b.to_pylist() for p in parts for b in warc.WarcReader({"path": ""}, None).read(p)]
+    assert sorted(r["record_id"] for b in rows for r in b) == [f"<urn:page:{i}>" for i in range(4)]
+
+
 # ------------------------------------------------------------------ queries and pipeline
 
 

@@ -8,7 +8,6 @@ with ``checkpoint`` into the folder that the cluster names in
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +24,11 @@ BROADCAST_ROWS = 50_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The session's shared checkpoint folder; a folder in the warehouse, which is shared too, only where none is set (tests)."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidemark"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
@@ -41,13 +40,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the checkpoint folder, for files that several jobs or executors read."""
+    """A new path below the checkpoint folder, for files that several jobs or executors read; a path without scheme belongs to the default file system."""
     base = checkpoint_dir(spark)
     if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        base = default.rstrip("/") + base if default.rstrip("/") != "file:" else f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def prefix_for(*frames: DataFrame) -> str:
+    """A beginning that no column of ``frames`` has, so that working columns clash with none of the user's."""
+    names = [c.lower() for df in frames for c in df.columns]
+    prefix = "__"
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
+
+
+def drawn_rows(df: DataFrame, name, count: int, rows: int) -> DataFrame:
+    """About ``rows`` of the ``count`` rows of ``df``: those whose hash ``name`` lies below a threshold, so no partition sends more than its share."""
+    if count <= rows:
+        return df
+    span = 1 << 40
+    return df.where(F.pmod(name, F.lit(span)) < F.lit(max(1, span * rows // count)))
+
+
 def without_spaces(col):
     """``col`` without the characters of ``[\\x20\\x09-\\x0D]``; null counts as empty."""
     out = F.coalesce(col, F.lit(""))
@@ -87,12 +104,13 @@ def join_by_key(rows: DataFrame, index: DataFrame, keys: list[str], size: str, t
     counting, so their list may be broadcast at any input size; their rows are
     dealt over salts and their index rows repeated for each salt.
     """
+    p = prefix_for(rows, index)
     limit = max(HOT_ROWS, total // HOT_SHARE)
     width = F.ceil(F.col(size) / F.lit(limit)).cast("int")
-    hot = index.where(F.col(size) > limit).select(*keys, width.alias("__width"))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__width").isNull(), F.lit(0)).otherwise(F.pmod(salt_of, F.col("__width")).cast("int"))).drop("__width")
-    spread = index.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1)))
-    return salted.join(spread, [*keys, "__salt"], "left").drop("__salt")
+    hot = index.where(F.col(size) > limit).select(*keys, width.alias(f"{p}width"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(f"{p}salt", F.when(F.col(f"{p}width").isNull(), F.lit(0)).otherwise(F.pmod(salt_of, F.col(f"{p}width")).cast("int"))).drop(f"{p}width")
+    spread = index.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1)))
+    return salted.join(spread, [*keys, f"{p}salt"], "left").drop(f"{p}salt")
 
 
 def splittable_join(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,7 +123,7 @@ def splittable_join(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataF
     index row.
     """
     named = index.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in index.columns if c not in keys])
-    more = lambda prefix: F.pmod(F.col(f"{prefix}{keys[-1]}"), F.lit(2))
+    more = lambda prefix: F.pmod(F.xxhash64(F.col(f"{prefix}{keys[-1]}")), F.lit(2))
     same = more("") == more("__")
     for k in keys:
         same = same & (F.col(k) == F.col(f"__{k}"))

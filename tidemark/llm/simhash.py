@@ -3,7 +3,8 @@
 Each text gets a 64-bit fingerprint of its word shingles.  Equal fingerprints
 are one class; classes are what is compared.  A vantage-point tree, fitted on a
 bounded sample, partitions the classes by Hamming distance to its vantage
-points into shards of bounded size.  Every class lives in one shard and asks
+points into shards; a shard above its bound gets a tree of its own, fitted on a
+sample of its rows, and so on, so shards stay bounded at any number of classes.  Every class lives in one shard and asks
 all shards whose region comes within the link radius of it (the triangle
 inequality prunes the others); a task splits its shard by further vantage
 points and compares exactly at the leaves.  A shard returns one link to the
@@ -13,11 +14,13 @@ links are joined to components by alternating large and small stars.
 Defined results: a null or empty text has fingerprint zero and links like any
 other; repeated rows share fingerprint and component; a null identifier is
 never a component's smallest one unless it has no other; an empty table gives
-no rows.
+no rows; extra columns of any name are ignored, or carried by
+``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
+import pickle
 from itertools import repeat
 
 import numpy as np
@@ -26,12 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, join_by_key, slices
+from tidemark.llm.common import checkpoint, drawn_rows, join_by_key, prefix_for, slices, splittable_join
 
-#: Fingerprints for each shard from which the top of the tree is fitted, and the most shards; the sample is at most 262,144 numbers.
+#: Fingerprints for each shard from which a tree is fitted, and the most shards of one tree: the sample is at most 262,144 numbers on the driver.
 SAMPLE_PER_SHARD = 64
 MOST_SHARDS = 4_096
-SHARD_ROWS = 8_192
+#: Shards of a tree within a shard, which a task fits.
+INNER_SHARDS = 256
+#: Classes a shard should hold, and how often that (asking ones included) makes it too large.
+SHARD_ROWS, TOO_LARGE = 8_192, 8
+#: Dropped identifiers that are broadcast rather than shuffled with all texts; counted first.
+BROADCAST_MARKS = 400_000
 LEAF_ROWS = 96
 
 
@@ -50,17 +58,24 @@ def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def text_names(text) -> tuple:
+    """Two hashes that tell texts apart; a null text counts as empty."""
+    body = F.coalesce(text, F.lit(""))
+    return F.xxhash64(body), F.xxhash64(F.lit(1), body)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias("text"))
+    """doc_id, the text's names h1 and h2, and the fingerprint fp as a signed long."""
+    h1, h2 = text_names(F.col(text))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias("text"))
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 prints = np.fromiter((fingerprint(x.as_py(), width, seed) for x in batch.column("text")), np.uint64, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "h1", "h2")] + [pa.array(prints.view(np.int64))], names=["doc_id", "h1", "h2", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
 
 
 def _split(prints: np.ndarray, turn: int = 0):
@@ -168,22 +183,73 @@ def _shard_links(radius: int):
     return run
 
 
+def _fit_inner(radius: int):
+    """A tree for each oversized shard, from its sample; rows (shard, tree)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        prints = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64))
+        tree = fit_tree(prints, int(pdf["leaves"].iloc[0]))
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "tree": [pickle.dumps(tree)]})
+
+    return run
+
+
+def _split_large(dealt: DataFrame, limit: int, radius: int) -> DataFrame | None:
+    """Rows (shard, fp, home) with the shards above ``limit`` split by trees of their own; None if there are none that can be."""
+    sizes = checkpoint(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where(F.col("n") > limit))
+    sizes = sizes.where(F.col("homes") > SHARD_ROWS)
+    if sizes.isEmpty():
+        return None
+    leaves = F.least(F.lit(INNER_SHARDS), F.ceil(F.col("homes") / SHARD_ROWS)).cast("int")
+    share = F.least(F.lit(1.0), SAMPLE_PER_SHARD * leaves / F.col("homes"))
+    large = splittable_join(dealt.where("home"), sizes.withColumn("leaves", leaves).withColumn("share", share).drop("n", "homes"), ["shard"])
+    drawn = large.where(F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("shard", "fp", "leaves")
+    trees = checkpoint(drawn.groupBy("shard").applyInPandas(_fit_inner(radius), "shard string, tree binary"))
+
+    def deal(batches):
+        for batch in batches:
+            prints, home = np.asarray(batch.column("fp")).astype(np.int64), batch.column("home").to_numpy(zero_copy_only=False)
+            names = batch.column("shard").dictionary_encode()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            for code in np.unique(codes).tolist():
+                at = np.flatnonzero(codes == code)
+                shard, tree = names.dictionary[code].as_py(), pickle.loads(batch.column("tree")[int(at[0])].as_py())
+                for slack, own in ((0, at[home[at]]), (radius, at[~home[at]])):
+                    for leaf, part in route(tree, prints[own].view(np.uint64), slack):
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{shard}.{leaf}"] * len(part), pa.string()), pa.array(prints[own[part]]), pa.array(np.full(len(part), slack == 0))], names=["shard", "fp", "home"])
+
+    small = dealt.join(sizes.select("shard"), "shard", "left_anti")
+    split = splittable_join(dealt, trees, ["shard"]).select("shard", "fp", "home", "tree").mapInArrow(deal, "shard string, fp long, home boolean")
+    return small.select("shard", "fp", "home").unionByName(split)
+
+
 def near_links(classes: DataFrame, count: int, radius: int = 2) -> DataFrame:
     """Links (a, b), a > b, that connect all fingerprints (column fp, distinct) within ``radius`` bits."""
     shards = min(MOST_SHARDS, max(1, -(-count // SHARD_ROWS)))
     tree = 0
     if shards > 1:
-        drawn = classes.orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_SHARD * shards).toPandas()["fp"].to_numpy(np.int64)
-        tree = fit_tree(drawn.view(np.uint64), shards)
+        drawn = drawn_rows(classes, F.xxhash64("fp"), count, SAMPLE_PER_SHARD * shards).select("fp").limit(2 * SAMPLE_PER_SHARD * shards)
+        tree = fit_tree(np.array([r["fp"] for r in drawn.collect()], np.int64).view(np.uint64), shards)
 
     def deal(batches):
         for batch in batches:
             prints = np.asarray(batch.column("fp")).astype(np.int64)
             for slack in (0, radius):
                 for shard, at in route(tree, prints.view(np.uint64), slack):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(prints[at]), pa.array(np.full(len(at), slack == 0))], names=["shard", "fp", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array([str(shard)] * len(at), pa.string()), pa.array(prints[at]), pa.array(np.full(len(at), slack == 0))], names=["shard", "fp", "home"])
 
-    dealt = classes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
+    dealt = classes.select("fp").mapInArrow(deal, "shard string, fp long, home boolean")
+    if shards > 1:
+        dealt, most = checkpoint(dealt), None
+        while True:  # each round splits what is too large; what no vantage point parts stays
+            finer = _split_large(dealt, TOO_LARGE * SHARD_ROWS, radius)
+            if finer is None:
+                break
+            finer = checkpoint(finer)
+            largest = finer.groupBy("shard").count().agg(F.max("count")).first()[0]
+            dealt, done, most = finer, most is not None and largest >= most, largest
+            if done:
+                break
     return dealt.groupBy("shard").applyInPandas(_shard_links(radius), "a long, b long")
 
 
@@ -191,8 +257,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links``: the smallest node that it reaches.
 
     Alternating large and small stars (Kiveris et al., 2014): each round is two
-    aggregations with map-side minima and two joins; rounds grow with the
-    logarithm of the diameter.
+    aggregations with map-side minima and two joins whose hubs adaptive
+    execution can split; rounds grow with the logarithm of the diameter.
     """
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     seen = None
@@ -203,30 +269,51 @@ def components(links: DataFrame) -> DataFrame:
         seen = tuple(now)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = splittable_join(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = splittable_join(large, low, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = checkpoint(small.where("u != v").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, fingerprint, component_id, fp (the fingerprint as a long)."""
+def _classed(docs: DataFrame, width: int, radius: int, seed: int, doc_id: str, text: str) -> DataFrame:
+    """One row for each document: doc_id, h1, h2, fp, root (of its component) and component_id."""
     prints = checkpoint(fingerprints(docs, width, seed, doc_id, text))
     classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n")))
     sums = classes.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     roots = components(near_links(classes, sums["c"], radius))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = classes.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    classes = checkpoint(classes.join(low, "root").select("fp", "component_id", "n"))
-    out = join_by_key(prints, classes, ["fp"], "n", sums["n"], F.xxhash64("doc_id"))
+    classes = checkpoint(splittable_join(classes, low, ["root"]).select("fp", "root", "component_id", "n"))
+    return join_by_key(prints, classes, ["fp"], "n", sums["n"], F.xxhash64("doc_id", "h1"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, fingerprint, component_id, fp (the fingerprint as a long)."""
+    out = _classed(docs, width, radius, seed, doc_id, text)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay: the smallest identifier of each component.
+    """The rows of ``docs``, with all their columns, that stay: one of each component.
 
-    Rows without an identifier can't be told apart by it, so they all stay, as do rows that repeat the one that stays.
+    It is the row with the smallest identifier, a null one last, and of several
+    texts with that identifier the one whose hash comes first; of rows that
+    repeat it one stays.  Rows are told apart by identifier and text, so a text
+    that nothing resembles stays whatever its identifier.
     """
-    near = near_duplicates(docs, width, radius, seed, doc_id, text)
-    gone = near.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__id"], "left_anti")
+    p = prefix_for(docs)
+    near = _classed(docs, width, radius, seed, doc_id, text)
+    keys = checkpoint(near.groupBy("root", "doc_id", "h1", "h2").agg(F.count("*").alias("times")))
+    best = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), "h1", "h2")).alias("best"), F.sum("times").alias("rows")).where("rows > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("h1") == F.col("best.h1")) & (F.col("h2") == F.col("best.h2"))
+    marks = splittable_join(keys, best, ["root"]).select(F.coalesce("doc_id", F.lit(0)).alias(f"{p}id"), F.col("doc_id").isNull().alias(f"{p}void"), F.col("h1").alias(f"{p}h1"), F.col("h2").alias(f"{p}h2"), stays.alias(f"{p}stays"), "times")
+    marks = checkpoint(marks.where(~F.col(f"{p}stays") | (F.col("times") > 1)).drop("times"))  # a row for each text that goes or stands more than once
+    if marks.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
+    h1, h2 = text_names(F.col(text))
+    own = F.col(doc_id).cast("long")
+    rows = docs.withColumns({f"{p}id": F.coalesce(own, F.lit(0)), f"{p}void": own.isNull(), f"{p}h1": h1, f"{p}h2": h2})
+    named = [f"{p}id", f"{p}void", f"{p}h1", f"{p}h2"]
+    rows = rows.join(marks, named, "left")
+    once, twice = rows.where(F.col(f"{p}stays").isNull()), rows.where(F.col(f"{p}stays"))
+    return once.select(*docs.columns).unionByName(twice.dropDuplicates(named).select(*docs.columns))

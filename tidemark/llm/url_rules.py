@@ -8,8 +8,10 @@ keys (a rule to every range that it overlaps), sorted, and swept once with a
 stack of the rules that are open; each level of the stack finds its longest
 path prefix by hashing, so many rules on one host cost no more than a few.
 
-Ranges come from a bounded sample of keys.  A key that fills several ranges,
-as a hot URL or host does, is dealt over all of them.
+Ranges come from a bounded sample of keys, cut to ``KEY_BYTES``; their number
+grows with the input.  Urls whose cut key fills several ranges, as a hot URL or
+host does, are dealt over all of them, and rules that begin alike go to each of
+these, so cutting changes neither order nor result.
 
 Defined results: a null url, or one without ``://``, has empty host and path;
 no rule fits it and its verdict is the default; a rule given twice blocks if
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import drawn_rows, lower_ascii
 
 SAMPLE_PER_RANGE = 64
+#: Bytes of a key that decide its range, urls for each range, and the most ranges (the sample is at most 64 keys for each).
+KEY_BYTES, RANGE_ROWS, MOST_RANGES = 64, 200_000, 20_000
 
 
 def host_and_path(url):
@@ -81,23 +85,25 @@ def judged_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", page
     host, path = host_and_path(F.col(url))
     urls = pages.select(F.col(page_id).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     urls = urls.select(F.concat(reversed_host(F.col("host")), F.col("path")).alias("key"), F.lit(1).alias("kind"), "id", "host", "path", F.lit(None).cast("string").alias("verdict"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # bounded: so many keys for each range, drawn by hash from the whole table
-    drawn = urls.select("key", F.xxhash64("key", "id").alias("h")).orderBy("h").limit(SAMPLE_PER_RANGE * ranges)
-    keys = sorted((r["key"] for r in drawn.collect()), key=lambda k: k.encode())
-    splits = [k.encode() for k in keys[SAMPLE_PER_RANGE // 2 :: SAMPLE_PER_RANGE]][: ranges - 1]
+    count = urls.count()
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS)))
+    drawn = drawn_rows(urls, F.xxhash64("key", "id"), count, SAMPLE_PER_RANGE * ranges).select(F.substring(F.encode("key", "utf-8"), 1, KEY_BYTES).alias("key")).limit(2 * SAMPLE_PER_RANGE * ranges)
+    keys = sorted(bytes(r["key"]) for r in drawn.collect())
+    step = max(1, -(-len(keys) // ranges))
+    splits = keys[step // 2 :: step][: ranges - 1]
 
     @F.pandas_udf("int")
     def url_range(key: pd.Series, salt: pd.Series) -> pd.Series:
         out = []
         for k, s in zip(key.str.encode("utf-8"), salt, strict=True):
-            low, high = bisect_left(splits, k), bisect_right(splits, k)
+            low, high = bisect_left(splits, k[:KEY_BYTES]), bisect_right(splits, k[:KEY_BYTES])
             out.append(low + s % (high - low + 1))
         return pd.Series(out, dtype="int32")
 
     @F.pandas_udf("array<int>")
     def rule_ranges(key: pd.Series) -> pd.Series:
-        return pd.Series([list(range(bisect_left(splits, k), bisect_left(splits, k + b"\xff") + 1)) for k in key.str.encode("utf-8")])
+        ends = lambda k: bisect_left(splits, k + b"\xff") if len(k) < KEY_BYTES else bisect_right(splits, k[:KEY_BYTES])
+        return pd.Series([list(range(bisect_left(splits, k[:KEY_BYTES]), ends(k) + 1)) for k in key.str.encode("utf-8")])
 
     urls = urls.withColumn("range", url_range("key", F.xxhash64("id", "key")))
     asked = rules.select(lower_ascii(F.col("host")).alias("host"), F.coalesce(F.col("path"), F.lit("")).alias("path"), "verdict")

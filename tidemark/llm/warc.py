@@ -1,19 +1,29 @@
 """WARC archives as a Python data source of Spark.
 
-Reading plans a partition for each file.  In a file whose records are gzip
-members with a length field (as this writer makes them; any gzip reader still
-opens them) a record is passed over by a seek, after its headers alone were
-decompressed; in a plain file by ``Content-Length``; a member without the field
-has to be decompressed to find its end, but its payload is not kept.  Record
-types and header values asked for by equality or ``IN`` are pushed down and
-tested on the headers; the payload is decoded only for records that pass, and
-not at all with the option ``payload=false``.
+Reading plans a partition for each file, and several for a large file whose
+records are gzip members with a length field (as this writer makes them; any
+gzip reader still opens them).  There a record is passed over by a seek, after
+its headers alone were decompressed; in a plain file by ``Content-Length``; in
+other gzip streams, however their members divide the records, what is skipped
+has to be decompressed, but is not kept.  Record types and header values asked
+for by equality or ``IN`` are pushed down and tested on the headers; the
+payload is decoded only for records that pass, and not at all with the option
+``payload=false``.
+
+Header names are read without regard to case.  A file that ends within a
+record, a record without a length and bytes that are no record are errors, not
+ends of the table.
 
 Writing makes a file for each task under a name of its own and moves it into
 place when the job commits, so a repeated or lost task leaves no half archive.
 
 Columns: record_type, record_id, target_uri, payload_digest, payload_length,
 refers_to, headers (map) and payload (binary, null where it isn't decoded).
+
+Defined results: a null or empty page is a record without payload; a url that
+is null is written as an empty one, line ends in it are left out; repeated rows
+are written each; a null page_id is written as ``null`` and read as null; extra
+columns are ignored; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -23,6 +33,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +48,12 @@ HEADER = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 4 << 20
 EXTRA = b"TL"  # subfield that holds a member's length
+#: Bytes of a large file that one partition reads.
+SPLIT_BYTES = 128 << 20
+#: Names that readers ask for, by their lower-case form.
+NAMES = {n.lower(): n for n in (*HEADER.values(), "Content-Length", "Content-Type", "WARC-Date", "WARC-Profile")}
+#: How each member of this writer begins: no time, and a subfield of four bytes for the length.
+SIGNATURE = struct.pack("<BBBBIBB", 31, 139, 8, 4, 0, 0, 255) + struct.pack("<H2sH", 8, EXTRA, 4)
 
 
 def filesystem(path: str):
@@ -51,7 +68,7 @@ def member(data: bytes, level: int = 1) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     whole = 10 + 2 + 8 + len(body) + 8
-    head = struct.pack("<BBBBIBB", 31, 139, 8, 4, 0, 0, 255) + struct.pack("<H2sHI", 8, EXTRA, 4, whole)
+    head = SIGNATURE + struct.pack("<I", whole)
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -61,98 +78,158 @@ def record(kind: str, headers: dict[str, str], payload: bytes) -> bytes:
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
+    """Headers of a record; names that readers ask for in their usual case."""
     out: dict[str, str] = {}
     for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            out[name.strip()] = value.strip()
+            out[NAMES.get(name.strip().lower(), name.strip())] = value.strip()
     return out
 
 
-class _Member:
-    """Decompressed bytes of one gzip member, as far as they are asked for."""
+class _Plain:
+    """Bytes of an uncompressed file from ``at`` on, as far as they are asked for."""
 
-    def __init__(self, source, at: int):
-        self.source, self.at = source, at
-        source.seek(at)
-        head = source.read(20)
-        self.length = struct.unpack("<I", head[16:20])[0] if len(head) == 20 and head[3] == 4 and head[12:14] == EXTRA else None
-        self.unpack = zlib.decompressobj(31)
-        self.data = b""
-        self.fed = at
-        self.empty = not head
+    def __init__(self, source, size: int, at: int):
+        self.source, self.size, self.at, self.held = source, size, at, bytearray()
 
-    def more(self, size: int = 4096) -> bool:
-        if self.unpack.eof:
-            return False
-        self.source.seek(self.fed)
-        raw = self.source.read(size)
-        self.fed += len(raw)
-        self.data += self.unpack.decompress(raw)
+    def fill(self) -> bool:
+        self.source.seek(self.at)
+        raw = self.source.read(1 << 16) if self.at < self.size else b""
+        self.at += len(raw)
+        self.held += raw
         return bool(raw)
 
-    def until(self, mark: bytes) -> int:
-        while (i := self.data.find(mark)) < 0 and self.more():
-            pass
-        return i
-
-    def take(self, start: int, size: int) -> bytes:
-        parts, have = [self.data], len(self.data)
-        while have < start + size and not self.unpack.eof:
-            self.source.seek(self.fed)
-            raw = self.source.read(1 << 16)
+    def until(self, mark: bytes) -> bytes:
+        """What comes before ``mark``, which is passed over."""
+        seen = 0
+        while (i := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if not self.fill():
+                raise ValueError(f"WARC file ends within the headers of a record, at byte {self.at}")
+        found = bytes(self.held[:i])
+        del self.held[: i + len(mark)]
+        return found
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.fill():
+                raise ValueError(f"WARC file ends within a record, at byte {self.at}")
+        found = bytes(self.held[:n])
+        del self.held[:n]
+        return found
+
+    def skip(self, n: int) -> None:
+        if n > len(self.held):
+            self.at += n - len(self.held)
+            n = len(self.held)
+            if self.at > self.size:
+                raise ValueError(f"WARC file ends within a record, at byte {self.size}")
+        del self.held[:n]
+
+    def ended(self) -> bool:
+        """Passes over line ends between records; whether nothing is left."""
+        while True:
+            n = len(self.held) - len(self.held.lstrip(b"\r\n"))
+            del self.held[:n]
+            if self.held or not self.fill():
+                return not self.held
+
+    def starts_after(self, stop: int) -> bool:
+        return False
+
+
+class _Zipped(_Plain):
+    """The same of a file of gzip members, whatever members and records have to do with each other."""
+
+    def __init__(self, source, size: int, at: int):
+        super().__init__(source, size, at)
+        self.unpack, self.start, self.end = None, at, None
+
+    def fill(self) -> bool:
+        self.source.seek(self.at)
+        raw = self.source.read(1 << 14 if self.unpack is None else 1 << 16) if self.at < self.size else b""
+        if self.unpack is None:
+            padding = len(raw) - len(raw.lstrip(b"\0"))
+            if raw and padding == len(raw):
+                self.at += padding
+                return self.fill()
+            raw = raw[padding:]
+            self.at += padding
             if not raw:
-                break
-            self.fed += len(raw)
-            parts.append(self.unpack.decompress(raw))
-            have += len(parts[-1])
-        self.data = b"".join(parts)
-        return self.data[start : start + size]
-
-    def end(self) -> int:
-        if self.length is not None:
-            return self.at + self.length
-        while not self.unpack.eof and self.more(1 << 16):
-            self.data = b""
-        return self.fed - len(self.unpack.unused_data)
-
-
-def records(source, size: int, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of a file's records; ``wanted(headers)`` is 0: skip, 1: headers only, 2: all."""
+                return False
+            self.unpack, self.start = zlib.decompressobj(31), self.at
+            self.end = self.at + struct.unpack("<I", raw[16:20])[0] if raw[:16] == SIGNATURE and len(raw) >= 20 else None
+        elif not raw:
+            raise ValueError(f"WARC file ends within a gzip member, at byte {self.at}")
+        self.held += self.unpack.decompress(raw)
+        self.at += len(raw) - len(self.unpack.unused_data)
+        if self.unpack.eof:
+            self.unpack = None
+        return True
+
+    def skip(self, n: int) -> None:
+        if self.end is not None and self.unpack is not None:  # one record a member: the rest of it goes
+            self.held.clear()
+            self.unpack, self.at = None, self.end
+            if self.at > self.size:
+                raise ValueError(f"WARC file ends within a gzip member, at byte {self.size}")
+            return
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.fill():
+                raise ValueError(f"WARC file ends within a record, at byte {self.at}")
+        del self.held[:n]
+
+    def starts_after(self, stop: int) -> bool:
+        return self.start >= stop
+
+
+def records(source, size: int, wanted, start: int = 0, stop: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload) of the records that start in a file's bytes [start, stop); ``wanted(headers)`` is 0: skip, 1: headers only, 2: all."""
     source.seek(0)
-    zipped, at = source.read(2) == b"\x1f\x8b", 0
-    while at < size:
-        if zipped:
-            m = _Member(source, at)
-            i = m.until(b"\r\n\r\n")
-            if i < 0:
-                return
-            headers = parse_headers(m.data[:i])
-            want = wanted(headers)
-            payload = m.take(i + 4, int(headers.get("Content-Length", 0))) if want == 2 else None
-            at = m.end()
+    stream = (_Zipped if source.read(2) == b"\x1f\x8b" else _Plain)(source, size, start)
+    while not stream.ended():
+        if stop is not None and stream.starts_after(stop):
+            return
+        head = stream.until(b"\r\n\r\n")
+        headers = parse_headers(head)
+        length = headers.get("Content-Length", "")
+        if not head.startswith(b"WARC/") or not length.isdigit():
+            raise ValueError(f"no WARC record with a length before byte {stream.at}")
+        want, payload = wanted(headers), None
+        if want == 2:
+            payload = stream.take(int(length))
         else:
-            source.seek(at)
-            head = b""
-            while (i := head.find(b"\r\n\r\n")) < 0:
-                more = source.read(4096)
-                if not more:
-                    return
-                head += more
-            headers = parse_headers(head[:i])
-            length, want = int(headers.get("Content-Length", 0)), wanted(headers)
-            payload = None
-            if want == 2:
-                source.seek(at + i + 4)
-                payload = source.read(length)
-            at += i + 4 + length + 4
+            stream.skip(int(length))
         if want:
             yield headers, payload
 
 
+def next_member(source, size: int, at: int) -> int:
+    """Where the first member of this writer at or after ``at`` begins; its length must lead to another or to the end."""
+    held, base = b"", at
+    while True:
+        source.seek(base + len(held))
+        raw = source.read(1 << 20) if base + len(held) < size else b""
+        held += raw
+        i = held.find(SIGNATURE)
+        while i >= 0 and i + 20 <= len(held):
+            after = base + i + struct.unpack("<I", held[i + 16 : i + 20])[0]
+            source.seek(after)
+            if after == size or after < size and source.read(16) == SIGNATURE:
+                return base + i
+            i = held.find(SIGNATURE, i + 1)
+        if not raw:
+            return size
+        cut = max(0, i if i >= 0 else len(held) - 19)
+        held, base = held[cut:], base + cut
+
+
 class FilePartition(InputPartition):
-    def __init__(self, path: str | None):
-        self.path = path
+    def __init__(self, path: str | None, start: int = 0, stop: int | None = None):
+        self.path, self.start, self.stop = path, start, stop
 
 
 class WarcReader(DataSourceReader):
@@ -178,8 +255,15 @@ class WarcReader(DataSourceReader):
         system, path = filesystem(self.path)
         found = system.get_file_info(fs.FileSelector(path, recursive=True)) if system.get_file_info(path).type == fs.FileType.Directory else [system.get_file_info(path)]
         base = self.path.rstrip("/").removesuffix(path.rstrip("/")) if "://" in self.path else ""
-        names = sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
-        return [FilePartition(f"{base}{n}") for n in names] or [FilePartition(None)]  # a source has one partition at least
+        parts = []
+        for f in sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
+            size, cuts = f.size, [0]
+            if size > SPLIT_BYTES:
+                with system.open_input_file(f.path) as raw:
+                    if raw.read(16) == SIGNATURE:
+                        cuts = list(range(0, size, SPLIT_BYTES))
+            parts += [FilePartition(f"{base}{f.path}", a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+        return parts or [FilePartition(None)]  # a source has one partition at least
 
     def _wanted(self, headers: dict[str, str]) -> int:
         if any(headers.get(name) not in values for name, values in self.tests):
@@ -194,7 +278,8 @@ class WarcReader(DataSourceReader):
         with system.open_input_file(path) as raw:
             size = raw.size()
             source = io.BufferedReader(raw, 1 << 18) if isinstance(raw, io.RawIOBase) else raw
-            for headers, payload in records(source, size, self._wanted):
+            start = next_member(source, size, partition.start) if partition.start else 0
+            for headers, payload in records(source, size, self._wanted, start, partition.stop):
                 rows.append((headers, payload))
                 held += 1000 + len(payload or b"")
                 if held >= BATCH_BYTES:
@@ -222,6 +307,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options, overwrite):
         self.path, self.level, self.overwrite = options["path"], int(options.get("level", "1")), overwrite
+        self.date = options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         if overwrite:
             system, path = filesystem(self.path)
             from pyarrow import fs
@@ -238,7 +324,7 @@ class WarcWriter(DataSourceArrowWriter):
                 out = system.open_output_stream(f"{path}/_pending/{name}", compression=None)
             columns = {c: batch.column(c).to_pylist() for c in HEADER}
             for i, payload in enumerate(batch.column("payload")):
-                headers = {HEADER[c]: columns[c][i] for c in HEADER if c != "record_type"}
+                headers = {"WARC-Date": self.date, **{HEADER[c]: columns[c][i] for c in HEADER if c != "record_type"}, "Content-Type": "text/html"}
                 if columns["record_type"][i] == "revisit":
                     headers["WARC-Profile"] = REVISIT_PROFILE
                 out.write(member(record(columns["record_type"][i], headers, payload.as_py() or b""), self.level))
@@ -297,7 +383,7 @@ def archive_records(pages: DataFrame, least: int = 100, page_id: str = "page_id"
     # the payload travels with its row: the record is written where the join has dealt it
     rows = _revisits(rows, large, total, least)
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "")
-    name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
+    name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return rows.select(
         F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), name(F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("record_id"), uri.alias("target_uri"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.col("size").cast("string").alias("payload_length"), F.when(F.col("revisit"), name(F.col("first_id"))).alias("refers_to"),
@@ -328,13 +414,12 @@ def page_archive(pages: DataFrame, least: int = 100, page_id: str = "page_id", u
     response of no bytes; a page_id given twice with one payload is one page, so
     both its records are responses; a null page_id revisits the smallest other.
     """
-    back = archived(pages, None, least, page_id, url, html)
-    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
-    read = F.col("record_type") == "response"
-    return back.select(
-        number(F.col("record_id")).alias("page_id"),
-        F.when(read, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(read, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-        "record_type",
-        number(F.col("refers_to")).alias("refers_to"),
-    )
+    spark = pages.sparkSession
+    path = shared_folder(spark, "warc")
+    responses = archived(pages, path, least, page_id, url, html).where("record_type = 'response'")
+    # of revisits the headers alone are read
+    revisits = spark.read.format("warc").option("path", path).option("payload", "false").load().where("record_type = 'revisit'")
+    number = lambda c: F.regexp_extract(c, r":(-?\d+)>?$", 1).try_cast("long")
+    rows = responses.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("string").alias("refers_to"))
+    rows = rows.unionByName(revisits.select("record_id", F.col("payload_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", "refers_to"))
+    return rows.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
