@@ -397,13 +397,19 @@ def test_bpe_chunks_repair_their_joints():
     from tidemark.llm.queries import tokenizer_path
 
     codec, library, rng = Codec(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), random.Random(0)
-    parts = ["a", "é", " ", "  ", "\n", " \n ", "'s", "<|endoftext|>", "12", "!?", "\u3000", "日本", "\xa0", "Word", " the", "\t", "€", "😀"]
-    for n in range(120):
-        own = parts if n % 2 else [p for p in parts if max(map(ord, p)) < 0x400]
+    parts = ["a", "é", " ", "  ", "\n", " \n ", "'s", "<|endoftext|>", "12", "!?", "\u3000", "日本", "\xa0", "Word", " the", "\t", "€", "😀", "，", "。", "語", "、a", "“q”", " слово"]
+    for n in range(160):
+        own = [parts, [p for p in parts if max(map(ord, p)) < 0x400], ["日本語", "，", "。", "語", "！", "12", " "], [" слово", " ещё", ", ", "“", "”", " and"]][n % 4]
         text = "".join(rng.choice(own) for _ in range(rng.randrange(0, 3000)))
         ids = library.encode(text, add_special_tokens=False).ids
         assert codec.encode(text).tolist() == ids
         assert codec.decode(np.array(ids, np.uint32)) == library.decode(ids, skip_special_tokens=False)
+    shared = " ".join(f"слово{i % 97} “quoted” word{i * i % 89}" for i in range(900))
+    for n in range(4):  # a long passage of other scripts within different texts is encoded once
+        text = f"Own beginning {n} {'x' * n} {shared} and end {n}."
+        codec.asked = codec.reused = 0
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert n == 0 or codec.reused > 0.9 * codec.asked
 
 
 # ------------------------------------------------------------------ licences

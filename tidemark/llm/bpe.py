@@ -1,20 +1,27 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes cuts every text where its content says so, so a
-passage that documents share falls into the same chunks in each of them.  The
-inner part of a chunk, between its first and last safe point, is encoded once
-and reused from a bounded table; the ragged ends that meet at a chunk joint are
-put together and encoded anew.  A safe point lies before a single space between
-two printable ASCII characters: the pre-tokenizer always splits there whatever
-stands on either side, so the parts' tokens put together are exactly the whole
-text's.  A joint grows over further chunks until it ends at such points.
-
-Texts with characters from U+0400 on, where libraries may know different
-Unicode versions, are encoded by the tokenizers library itself; others by
-tiktoken over the same vocabulary, read from the same file.
+passage that documents share falls into the same chunks in each of them.  A
+chunk is encoded once, as if it were a text, and its tokens are kept in a
+bounded table for all documents of the worker.
+
+Where two chunks meet their tokens may be wrong.  The joint is repaired by
+encoding a stretch around it anew: from a place in the left chunk to a place in
+the right one at which both the chunk's own tokens and the text have an end of
+a pre-token.  The stretch grows, over whole chunks if need be, until both sides
+agree; the tokens beyond it are then exactly the whole text's.  Places that are
+ends of a pre-token whatever stands around are those before a single space
+between two printable ASCII characters, and before a full-width stop, comma,
+question or exclamation mark behind a Han character; the pre-tokenizer reads
+from left to right and looks ahead only, so from there on it goes alike.
+
+Stretches with characters from U+0400 on, where libraries may know different
+Unicode versions, are encoded by the tokenizers library; others by tiktoken
+over the same vocabulary, read from the same file.
 
 Defined results: a null text counts as empty; an empty text has no tokens and
-the digests of no bytes; every row has its own result, repeated or not.
+the digests of no bytes; every row has its own result, repeated or not; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +39,6 @@ from tidemark.llm.common import slices
 
 WINDOW_BITS = 5  # the rolling hash sees 32 bytes
 MASK = (1 << 10) - 1  # a cut every 1,024 bytes on average
-LEAST = 2_048  # shorter texts are not cut
 TABLE_BYTES = 24 << 20  # of chunks kept for reuse in a worker
 #: Pre-tokenizer pattern of byte-level BPE files (fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,54 +77,88 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         mix = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.gear = ((mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-        self.table: dict[bytes, np.ndarray] = {}
-        self.held = 0
+        self.table: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.held = self.asked = self.reused = 0
 
     def _encode(self, part: bytes) -> np.ndarray:
-        """The tokens of bytes whose characters lie below U+0400."""
-        return self.fast.encode_to_numpy(part.decode(), allowed_special="all")
+        if part.isascii() or max(part) < 0xD0:
+            return self.fast.encode_to_numpy(part.decode(), allowed_special="all").astype(np.uint32, copy=False)
+        return np.array(self.library.encode(part.decode(), add_special_tokens=False).ids, np.uint32)
 
-    def _cuts(self, data: np.ndarray) -> np.ndarray:
+    def _edges(self, data: np.ndarray) -> list[int]:
+        """Where the chunks begin, and the end; never within a character."""
         h = self.gear[data]
         for k in range(WINDOW_BITS):
             step = 1 << k
             h[step:] = h[step:] + (h[:-step] << np.uint32(step) | h[:-step] >> np.uint32(32 - step))
-        return np.flatnonzero((h[32:] >> np.uint32(7)) & np.uint32(MASK) == 0) + 33
+        at = np.flatnonzero((h[32:] >> np.uint32(7)) & np.uint32(MASK) == 0) + 33
+        for _ in range(3):
+            at = np.where((at < len(data)) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80), at + 1, at)
+        return np.unique(np.concatenate([[0], at, [len(data)]])).tolist()
+
+    @staticmethod
+    def _ends(data: np.ndarray) -> np.ndarray:
+        """Places that end a pre-token whatever stands around them."""
+        plain = (data > 0x20) & (data < 0x7F)
+        at = np.flatnonzero(plain[:-2] & (data[1:-1] == 0x20) & plain[2:]) + 1
+        if len(data) < 6 or data.max() < 0xE3:
+            return at
+        han = (data[:-5] >= 0xE5) & (data[:-5] <= 0xE8)
+        a, b, c = data[3:-2], data[4:-1], data[5:]
+        stop = (a == 0xE3) & (b == 0x80) & ((c == 0x81) | (c == 0x82)) | (a == 0xEF) & (b == 0xBC) & ((c == 0x81) | (c == 0x8C) | (c == 0x9F))
+        return np.union1d(at, np.flatnonzero(han & stop) + 3)
 
     def encode(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode()
         if not raw:
             return np.zeros(0, np.uint32)
         data = np.frombuffer(raw, np.uint8)
-        if data.max() >= 0xD0:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(raw) < LEAST:
-            return self._encode(raw)
-        plain = (data > 0x20) & (data < 0x7F)
-        safe = np.flatnonzero(plain[:-2] & (data[1:-1] == 0x20) & plain[2:]) + 1
-        edges = np.unique(np.concatenate([[0], self._cuts(data), [len(raw)]]))
-        first = np.searchsorted(safe, edges[:-1])  # the chunk's first safe point
-        last = np.searchsorted(safe, edges[1:]) - 1
-        whole = last > first
-        parts, at = [], 0
-        for a, b in zip(safe[first[whole]].tolist(), safe[last[whole]].tolist(), strict=True):
-            if a > at:
-                parts.append(self._encode(raw[at:a]))
-            parts.append(self._chunk(raw[a:b]))
-            at = b
-        if at < len(raw):
-            parts.append(self._encode(raw[at:]))
+        edges = self._edges(data)
+        if len(edges) == 2:
+            return self._chunk(raw)[0]
+        places = self._ends(data)
+        parts, at, joint = [], 0, None  # tokens of raw[:at] are put out; a joint that is open begins at ``joint``
+        for a, b in zip(edges, edges[1:], strict=False):
+            ids, ends = self._chunk(raw[a:b])
+            if joint is not None:
+                own = places[np.searchsorted(places, a) : np.searchsorted(places, b)]
+                at = next((p for p in own.tolist() if self._is_end(ends, p - a)), None)
+                if at is None:
+                    continue  # no agreement within this chunk: the stretch grows over it
+                if at > joint:
+                    parts.append(self._encode(raw[joint:at]))
+                joint = None
+            first = int(np.searchsorted(ends, at - a, side="right"))
+            if b == len(raw):
+                parts.append(ids[first:])
+                continue
+            own = places[np.searchsorted(places, at, side="right") : np.searchsorted(places, b, side="right")]
+            joint = next((p for p in own[::-1].tolist() if self._is_end(ends, p - a)), at)
+            parts.append(ids[first : int(np.searchsorted(ends, joint - a, side="right"))])
+        if joint is not None:
+            parts.append(self._encode(raw[joint:]))
         return np.concatenate(parts).astype(np.uint32, copy=False)
 
-    def _chunk(self, part: bytes) -> np.ndarray:
-        ids = self.table.get(part)
-        if ids is None:
-            ids = self.table[part] = self._encode(part)
-            self.held += len(part) + ids.nbytes + 200
+    @staticmethod
+    def _is_end(ends: np.ndarray, offset: int) -> bool:
+        """Whether a chunk's own tokens end at ``offset``, too."""
+        i = int(np.searchsorted(ends, offset))
+        return offset == 0 or i < len(ends) and ends[i] == offset
+
+    def _chunk(self, part: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of a chunk and the places where they end."""
+        found = self.table.get(part)
+        self.asked += len(part)
+        if found is None:
+            ids = self._encode(part)
+            found = self.table[part] = ids, np.cumsum(self.length[ids])
+            self.held += len(part) + 3 * ids.nbytes + 300
             while self.held > TABLE_BYTES:
                 old = next(iter(self.table))
-                self.held -= len(old) + self.table.pop(old).nbytes + 200
-        return ids
+                self.held -= len(old) + 3 * self.table.pop(old)[0].nbytes + 300
+        else:
+            self.reused += len(part)
+        return found
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``, special tokens included; bytes that are no UTF-8 become U+FFFD."""
