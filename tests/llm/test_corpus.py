@@ -533,14 +533,36 @@ def brute_kept(texts, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "block"), [(35, 12), (6, 3), (4, 4)])
-def test_substring_dedup(docs, texts, window, block):
+@pytest.mark.parametrize(("window", "block", "hot"), [(35, 12, 4000), (6, 3, 4000), (4, 4, 4000), (35, 12, 2), (6, 3, 2)])
+def test_substring_dedup(docs, texts, monkeypatch, window, block, hot):
+    from tidemark.llm import substring_dedup
     from tidemark.llm.substring_dedup import repeated_word_spans
 
+    monkeypatch.setattr(substring_dedup, "HOT_TEXTS", hot)
     got = table(repeated_word_spans(docs.withColumn("block", F.lit(1)).withColumn("k1", F.lit(1)), window, block))
     want = brute_kept(texts, window)
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(texts))] == want
     assert all(sum(b - a for a, b in got[i]["spans"]) == want[i][1] for i in got)
+    words = [WORD.findall(t or "") for t in texts]
+    factors = [(i, f) for i in got for f in got[i]["factors"]]
+    assert factors and all(f["length"] >= window for _, f in factors)
+    for i, f in factors:  # a factor's words are its source's, and not just those of its own place
+        if f["source_start"] is not None:
+            assert (i, f["start"]) != (f["source"], f["source_start"])
+            assert words[i][f["start"] : f["start"] + f["length"]] == words[f["source"]][f["source_start"] : f["source_start"] + f["length"]]
+
+
+def test_greedy_factors_are_longest_and_checked_over_their_boundaries():
+    from tidemark.llm.substring_dedup import parse
+
+    w = [f"{c}".encode() for c in "abcdefghijklmnop"]
+    one, two, both = w[:8], w[5:14], w[:14]
+    got = list(parse([(one, 1), (two, 1), (both, 1)], 4))
+    assert (2, 0, 8, 0, 0) in got and (2, 5, 9, 1, 0) in got  # two factors that overlap; the windows between them are covered
+    assert (0, 0, 8, 2, 0) in got and (1, 0, 9, 2, 5) in got
+    apart = list(parse([(w[:5], 1), (w[5:10], 1), (w[:10], 1)], 4))
+    assert [(i, n) for r, i, n, _, _ in apart if r == 2] == [(0, 5), (5, 5)]  # no window over the boundary stands elsewhere
+    assert list(parse([([b"a"] * 7, 1)], 3)) == [(0, 0, 6, 0, 1), (0, 4, 3, 0, 0)]
 
 
 def test_substring_dedup_of_repeated_and_no_rows(spark, docs):

@@ -56,7 +56,7 @@ def op8_gru_langid(spark, sf_dir):
 
 
 def op9_substring_dedup(spark, sf_dir):
-    return substring_dedup.repeated_word_spans(_read(spark, sf_dir, "documents")).drop("spans")
+    return substring_dedup.repeated_word_spans(_read(spark, sf_dir, "documents")).drop("spans", "factors")
 
 
 def op10_warc(spark, sf_dir):

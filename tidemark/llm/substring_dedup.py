@@ -1,25 +1,29 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup by relative Lempel-Ziv parsing.
 
 Words are the letters.  The reference is the corpus itself, cut into blocks of
 ``BLOCK`` words at places that the content names: of every 35-word window the
 block with the smallest hash is indexed, so equal windows name equal blocks
-wherever they stand.  Blocks that the index holds twice are sent back to their
-texts.  Each text is then parsed greedily from left to right: a factor goes on
-while the window that begins at the next word has its block in the index, and
-else ends; what lies between factors is literal.  A factor is at least a window
-long; its windows are checked one by one, across the boundaries where reference
-blocks meet, by a 96-bit hash that is counted over the corpus.  Windows that
-occur again become duplicate spans.
-
-Equal texts are met once in each task and count as often as they occur.  All
-steps are one plan, so the exchange of the texts is made once and used again,
-a lost executor costs its partitions only, and the joins are made such that
-adaptive execution can split them, as a passage may stand in a third of all
-texts.
+wherever they stand.  Each block that stands twice is a reference block; every
+text that holds it hands in the stretch of words whose windows name it.
+
+A task holds the stretches of a reference block and parses each greedily from
+left to right against all others: at a word whose window stands elsewhere, word
+for word, a factor begins with that place as its source, and goes on as far as
+the words of both agree; at other words a literal is passed over.  After a
+factor, the next window to be looked up is the first that reaches beyond it, so
+windows over the boundary of two factors are checked for themselves.  Factors
+are at least a window long; their words become duplicate spans.
+
+Equal texts are met once in each task and count as often as they occur.  A
+block that more than ``HOT_TEXTS`` texts hold is not brought together: its
+stretches are cut into single windows, which are counted with partial sums in
+every task (by a 96-bit name, and the least and greatest words of a name must
+be the same), and looked up by a join that adaptive execution can split.
 
 Defined results: a null text has no words; texts shorter than a window keep
-all words; repeated rows make each other's windows repeated; an empty table
-gives no rows.
+all words; repeated rows make each other's windows repeated; a null identifier
+is a document like others; extra columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -31,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, splittable_join
+from tidemark.llm.common import checkpoint, shared_folder, slices, splittable_join
 
 WINDOW = 35
 BLOCK = 12
+#: Texts with a block from which on its windows are counted over the cluster.
+HOT_TEXTS = 4_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+FACTORS = "k1 long, name int, start int, length int, source long, source_start int"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -65,10 +72,43 @@ def window_blocks(h: np.ndarray, window: int, block: int) -> tuple[np.ndarray, n
     return at + np.arange(len(views)), g
 
 
-def greedy_factors(known: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word ranges of the factors: ``known[i]`` tells whether window i's block is in the index."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], known.astype(np.int8), [0]])))
-    return [(int(a), int(b) - 1 + window) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def stretches(h: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first window, windows) of each run of windows that name the same block in the same place."""
+    at, g = window_blocks(h, window, block)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return g[at[first]], first, np.diff(np.append(first, len(at)))
+
+
+def parse(rows: list[tuple[list[bytes], int]], window: int):
+    """Greedy factors of stretches (words, weight) against each other: (row, start, length, source row, source start).
+
+    A row of weight above 1 stands for equal texts and is parsed as a source only.
+    """
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    keys = []
+    for r, (words, _) in enumerate(rows):
+        own = [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
+        keys.append(own)
+        for i, key in enumerate(own):
+            found = places.setdefault(key, [])
+            if len(found) < 2:  # a place and, for the window that stands there, another
+                found.append((r, i))
+    for r, (words, weight) in enumerate(rows):
+        if weight > 1:
+            continue
+        i = 0
+        while i < len(keys[r]):
+            found = places[keys[r][i]]
+            source = next((p for p in found if p != (r, i)), None)
+            if source is None:
+                i += 1
+                continue
+            other, j = rows[source[0]][0], source[1]
+            n = window
+            while i + n < len(words) and j + n < len(other) and words[i + n] == other[j + n]:
+                n += 1
+            yield r, i, n, source[0], j
+            i += n - window + 1
 
 
 def _low(name: int) -> int:
@@ -98,14 +138,10 @@ def _once(batches):
                 yield batch.take(pa.array(new))
 
 
-def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_words, n_removed, kept_sha256, spans (removed word ranges [from, to))."""
-    if not 1 <= block <= window:
-        raise ValueError("a block has between one word and a window's words")
-    named = _named(docs, doc_id, text)
+def _index_blocks(window: int, block: int):
+    """Blocks that each text names, with half of the text's name: more owners than are due do no harm here."""
 
-    def index_blocks(batches):
-        """Blocks that each text indexes, with half of the text's name: more owners than are due do no harm here."""
+    def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[list[np.ndarray]] = [[], [], []]
@@ -119,13 +155,22 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["block", "owner", "twice"])
 
-    def parse(batches):
-        """Windows of each text's factors: w1, w2, k1, name (the low 32 bits of k2), at, weight."""
+    return run
+
+
+STRETCH = "block long, k1 long, name int, source long, at int, weight int, words binary"
+HOT_WINDOW = "w1 long, w2 int, k1 long, name int, source long, at int, weight int, words binary"
+
+
+def _hand_in(window: int, block: int, hot: bool):
+    """Of each text the stretches that name a reference block; or, of hot blocks, their single windows."""
+
+    def run(batches):
         last = None
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for k1, k2, t, held, copied in zip(*(part.column(c) for c in ("k1", "k2", "text", "blocks", "copied")), strict=True):
+                rows: list[list] = [[] for _ in range(8 if hot else 7)]
+                for k1, k2, doc, t, held, copied in zip(*(part.column(c) for c in ("k1", "k2", "doc_id", "text", "hot" if hot else "blocks", "copied")), strict=True):
                     k1, k2 = k1.as_py(), k2.as_py()
                     if not held.is_valid or not len(held.values) or (k1, k2) == last:
                         continue
@@ -134,60 +179,143 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
                     if len(words) < window:
                         continue
                     h = word_hashes(words)
-                    at, g = window_blocks(h, window, block)
                     index = held.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                     weight = 1 + (k2 in (copied.as_py() or ()))
-                    for a, b in greedy_factors(np.isin(g[at], index), window):
-                        m, part_h = b - a - window + 1, h[a:b]
-                        new = (gram_hashes(part_h, window, _B1).view(np.int64), (gram_hashes(part_h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(m, k1, np.int64), np.full(m, _low(k2), np.int32), np.arange(a, a + m, dtype=np.int32), np.full(m, weight, np.int32))
-                        for column, x in zip(rows, new, strict=True):
-                            column.append(x)
+                    names, first, n = stretches(h, window, block)
+                    own = np.flatnonzero(np.isin(names, index))
+                    if hot:
+                        w1, w2 = gram_hashes(h, window, _B1).view(np.int64), (gram_hashes(h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        for i in np.concatenate([np.arange(first[s], first[s] + n[s]) for s in own]).tolist() if len(own) else ():
+                            for column, x in zip(rows, (w1[i], w2[i], k1, _low(k2), doc.as_py(), i, weight, b" ".join(words[i : i + window])), strict=True):
+                                column.append(x)
+                    else:
+                        for s in own.tolist():
+                            a = int(first[s])
+                            for column, x in zip(rows, (names[s].view(np.int64), k1, _low(k2), doc.as_py(), a, weight, b" ".join(words[a : a + int(n[s]) + window - 1])), strict=True):
+                                column.append(x)
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["w1", "w2", "k1", "name", "at", "weight"])
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()) if hot else (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=[c.split()[0] for c in (HOT_WINDOW if hot else STRETCH).split(", ")])
+
+    return run
+
+
+def _parse_blocks(window: int):
+    """Stretches sorted by block -> factors; holds those of one block, which are bounded by HOT_TEXTS texts."""
 
-    def remove(batches):
+    def factors(group: list[tuple]):
+        if len(group) > 1:  # windows of one stretch name one place and so differ
+            for r, i, n, q, j in parse([(g[-1].split(b" "), g[4]) for g in group], window):
+                yield group[r][0], group[r][1], group[r][3] + i, n, group[q][2], group[q][3] + j
+
+    def run(batches):
+        group: list[tuple] = []
+        last, out = None, []
+        for batch in batches:
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != last and group:
+                    out += factors(group)
+                    group = []
+                last = block
+                group.append(tuple(row))
+            if out:
+                yield _factor_batch(out)
+                out = []
+        if group:
+            out += factors(group)
+        if out:
+            yield _factor_batch(out)
+
+    return run
+
+
+def _factor_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in FACTORS.split(", ")])
+
+
+def _remove(window: int):
+    """Texts with their factors -> what is left of them."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])))
+
+    def run(batches):
         last = None
         for batch in batches:
             for part in slices(batch, "text"):
-                out: list[list] = [[], [], [], [], [], []]
-                for k1, k2, t, copied, starts in zip(*(part.column(c) for c in ("k1", "k2", "text", "copied", "starts")), strict=True):
+                out: list[list] = [[] for _ in range(7)]
+                for k1, k2, t, copied, factors in zip(*(part.column(c) for c in ("k1", "k2", "text", "copied", "factors")), strict=True):
                     k1, k2 = k1.as_py(), k2.as_py()
                     if (k1, k2) == last:
                         continue
                     last = (k1, k2)
                     words = t.as_py().split()
                     spans: list[list[int]] = []
+                    found = []
                     if k2 in (copied.as_py() or ()) and len(words) >= window:
                         spans.append([0, len(words)])  # the whole text is another's
-                    elif starts.is_valid:
-                        own, at = (starts.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                        found = np.unique(at[own == _low(k2)]).tolist()
-                    for s in found if not spans and starts.is_valid else ():
-                        if spans and s <= spans[-1][1]:
-                            spans[-1][1] = s + window
+                    elif factors.is_valid:
+                        low = _low(k2)
+                        found = sorted((f["start"], f["length"], f["source"], f["source_start"]) for f in factors.as_py() if f["name"] == low)
+                    for start, length, *_ in found:
+                        if spans and start <= spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], start + length)
                         else:
-                            spans.append([s, s + window])
+                            spans.append([start, start + length])
                     kept, done = [], 0
                     for a, b in spans:
                         kept += words[done:a]
                         done = b
                     kept += words[done:]
-                    for values, x in zip(out, (k1, k2, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans), strict=True):
+                    named = [dict(zip(("start", "length", "source", "source_start"), f, strict=True)) for f in found]
+                    for values, x in zip(out, (k1, k2, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans, named), strict=True):
                         values.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["k1", "k2", "n_words", "n_removed", "kept_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["k1", "k2", "n_words", "n_removed", "kept_sha256", "spans", "factors"])
+
+    return run
 
-    once = named.select("k1", "k2", "text").mapInArrow(_once, "k1 long, k2 long, text binary")
+
+def _hot_factors(lined: DataFrame, window: int, block: int) -> DataFrame:
+    """A factor of one window for each window of a hot block that stands elsewhere."""
+    spark = lined.sparkSession
+    path = shared_folder(spark, "hot-windows")
+    lined.where(F.size("hot") > 0).mapInArrow(_hand_in(window, block, True), HOT_WINDOW).write.parquet(path)
+    windows = spark.read.parquet(path)
+    found = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n"), F.min("words").alias("low"), F.max("words").alias("high"), F.min("source").alias("first")).where("n > 1")
+    found = found.select("w1", "w2", "first", F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two windows have one 96-bit name"))).alias("same"))
+    found = splittable_join(windows.drop("words"), found, ["w1", "w2"]).where("same is null")
+    return found.select("k1", "name", F.col("at").alias("start"), F.lit(window).alias("length"), F.col("first").alias("source"), F.lit(None).cast("int").alias("source_start"))
+
+
+def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_words, n_removed, kept_sha256, spans (removed word ranges [from, to)), factors.
+
+    A factor (start, length, source, source_start) says that so many words from ``start`` on stand in the document
+    ``source`` (one of those with that text) from its word ``source_start`` on; for hot windows the place is null.
+    A text that stands twice as a whole is one span without factors.
+    """
+    if not 1 <= block <= window:
+        raise ValueError("a block has between one word and a window's words")
+    spark = docs.sparkSession
+    named = _named(docs, doc_id, text)
+    once = named.select("k1", "k2", "doc_id", "text").mapInArrow(_once, "k1 long, k2 long, doc_id long, text binary")
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = once.mapInArrow(index_blocks, "block long, owner long, twice boolean")
-    again = blocks.groupBy("block").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.max("twice").alias("t")).where("a != b or t").select("block")
-    held = splittable_join(blocks, again, ["block"]).select(F.col("owner").alias("k1"), "block", F.lit(None).cast("long").alias("k2"))
-    notes = held.unionByName(copies.select("k1", F.lit(None).cast("long").alias("block"), "k2"))
-    notes = notes.groupBy("k1").agg(F.collect_set("block").alias("blocks"), F.collect_set("k2").alias("copied"))
+    path = shared_folder(spark, "blocks")  # what two joins read is made once
+    once.mapInArrow(_index_blocks(window, block), "block long, owner long, twice boolean").write.parquet(path)
+    blocks = spark.read.parquet(path)
+    again = blocks.groupBy("block").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.max("twice").alias("t"), F.count("*").alias("n")).where("a != b or t").select("block", (F.col("n") > HOT_TEXTS).alias("hot"))
+    held = splittable_join(blocks.select("block", "owner"), again, ["block"])
+    none = F.lit(None).cast("long")
+    notes = held.select(F.col("owner").alias("k1"), F.when(~F.col("hot"), F.col("block")).alias("block"), F.when(F.col("hot"), F.col("block")).alias("hot"), none.alias("k2"))
+    notes = notes.unionByName(copies.select("k1", none.alias("block"), none.alias("hot"), "k2"))
+    notes = notes.groupBy("k1").agg(F.collect_set("block").alias("blocks"), F.collect_set("hot").alias("hot"), F.collect_set("k2").alias("copied"))
+    notes = checkpoint(notes)  # a text's own blocks and no more
     lined = once.join(notes, "k1", "left")  # the one exchange of the texts
-    windows = lined.mapInArrow(parse, "w1 long, w2 int, k1 long, name int, at int, weight int")
-    found = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
-    starts = splittable_join(windows, found, ["w1", "w2"]).groupBy("k1").agg(F.collect_list(F.struct("name", "at")).alias("starts"))
-    done = lined.join(starts, "k1", "left").mapInArrow(remove, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>")
-    done = done.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n_words", "n_removed", "kept_sha256", "spans")])
-    return splittable_join(named.select("doc_id", "k1", "k2"), done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    handed = lined.mapInArrow(_hand_in(window, block, False), STRETCH).repartition("block").sortWithinPartitions("block")
+    factors = handed.mapInArrow(_parse_blocks(window), FACTORS)
+    if not notes.where(F.size("hot") > 0).isEmpty():
+        factors = factors.unionByName(_hot_factors(lined, window, block))
+    packed = factors.groupBy("k1").agg(F.collect_list(F.struct("name", "start", "length", "source", "source_start")).alias("factors"))
+    out = "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>, factors array<struct<start:int,length:int,source:long,source_start:int>>"
+    done = lined.join(packed, "k1", "left").mapInArrow(_remove(window), out)
+    done = done.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n_words", "n_removed", "kept_sha256", "spans", "factors")])
+    return splittable_join(named.select("doc_id", "k1", "k2"), done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors")
