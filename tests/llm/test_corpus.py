@@ -538,7 +538,7 @@ def test_substring_dedup(docs, texts, monkeypatch, window, block, hot):
     from tidemark.llm import substring_dedup
     from tidemark.llm.substring_dedup import repeated_word_spans
 
-    monkeypatch.setattr(substring_dedup, "HOT_TEXTS", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", hot)
     got = table(repeated_word_spans(docs.withColumn("block", F.lit(1)).withColumn("k1", F.lit(1)), window, block))
     want = brute_kept(texts, window)
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(texts))] == want

@@ -15,7 +15,7 @@ windows over the boundary of two factors are checked for themselves.  Factors
 are at least a window long; their words become duplicate spans.
 
 Equal texts are met once in each task and count as often as they occur.  A
-block that more than ``HOT_TEXTS`` texts hold is not brought together: its
+block with more than ``HOT_PLACES`` places is not brought together: its
 stretches are cut into single windows, which are counted with partial sums in
 every task (by a 96-bit name, and the least and greatest words of a name must
 be the same), and looked up by a join that adaptive execution can split.
@@ -39,8 +39,10 @@ from tidemark.llm.common import checkpoint, shared_folder, slices, splittable_jo
 
 WINDOW = 35
 BLOCK = 12
-#: Texts with a block from which on its windows are counted over the cluster.
-HOT_TEXTS = 4_000
+#: Places of a block from which on its windows are counted over the cluster.
+HOT_PLACES = 4_000
+#: Text that a task takes in hand at once.
+PART_BYTES = 1 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FACTORS = "k1 long, name int, start int, length int, source long, source_start int"
 
@@ -142,18 +144,18 @@ def _index_blocks(window: int, block: int):
     """Blocks that each text names, with half of the text's name: more owners than are due do no harm here."""
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
+        for batch in _once(batches):
+            for part in slices(batch, "text", PART_BYTES):
                 rows: list[list[np.ndarray]] = [[], [], []]
                 for k, t in zip(part.column("k1").to_pylist(), part.column("text"), strict=True):
                     words = t.as_py().split()
                     if len(words) >= window:
                         at, g = window_blocks(word_hashes(words), window, block)
                         own, times = np.unique(g[np.unique(at)], return_counts=True)
-                        for column, x in zip(rows, (own.view(np.int64), np.full(len(own), k, np.int64), times > 1), strict=True):
+                        for column, x in zip(rows, (own.view(np.int64), np.full(len(own), k, np.int64), times.astype(np.int32)), strict=True):
                             column.append(x)
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["block", "owner", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["block", "owner", "times"])
 
     return run
 
@@ -168,7 +170,7 @@ def _hand_in(window: int, block: int, hot: bool):
     def run(batches):
         last = None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 rows: list[list] = [[] for _ in range(8 if hot else 7)]
                 for k1, k2, doc, t, held, copied in zip(*(part.column(c) for c in ("k1", "k2", "doc_id", "text", "hot" if hot else "blocks", "copied")), strict=True):
                     k1, k2 = k1.as_py(), k2.as_py()
@@ -201,7 +203,7 @@ def _hand_in(window: int, block: int, hot: bool):
 
 
 def _parse_blocks(window: int):
-    """Stretches sorted by block -> factors; holds those of one block, which are bounded by HOT_TEXTS texts."""
+    """Stretches sorted by block -> factors; holds those of one block, which are bounded by HOT_PLACES."""
 
     def factors(group: list[tuple]):
         if len(group) > 1:  # windows of one stretch name one place and so differ
@@ -211,16 +213,17 @@ def _parse_blocks(window: int):
     def run(batches):
         group: list[tuple] = []
         last, out = None, []
-        for batch in batches:
-            for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != last and group:
-                    out += factors(group)
-                    group = []
-                last = block
-                group.append(tuple(row))
-            if out:
-                yield _factor_batch(out)
-                out = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                for block, *row in zip(*(c.to_pylist() for c in whole.slice(at, 2048).columns), strict=True):
+                    if block != last and group:
+                        out += factors(group)
+                        group = []
+                    last = block
+                    group.append(tuple(row))
+                if out:
+                    yield _factor_batch(out)
+                    out = []
         if group:
             out += factors(group)
         if out:
@@ -241,7 +244,7 @@ def _remove(window: int):
     def run(batches):
         last = None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 out: list[list] = [[] for _ in range(7)]
                 for k1, k2, t, copied, factors in zip(*(part.column(c) for c in ("k1", "k2", "text", "copied", "factors")), strict=True):
                     k1, k2 = k1.as_py(), k2.as_py()
@@ -300,9 +303,9 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
     once = named.select("k1", "k2", "doc_id", "text").mapInArrow(_once, "k1 long, k2 long, doc_id long, text binary")
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
     path = shared_folder(spark, "blocks")  # what two joins read is made once
-    once.mapInArrow(_index_blocks(window, block), "block long, owner long, twice boolean").write.parquet(path)
+    named.select("k1", "k2", "doc_id", "text").mapInArrow(_index_blocks(window, block), "block long, owner long, times int").write.parquet(path)
     blocks = spark.read.parquet(path)
-    again = blocks.groupBy("block").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.max("twice").alias("t"), F.count("*").alias("n")).where("a != b or t").select("block", (F.col("n") > HOT_TEXTS).alias("hot"))
+    again = blocks.groupBy("block").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.sum("times").alias("n")).where("a != b or n > 1").select("block", (F.col("n") > HOT_PLACES).alias("hot"))
     held = splittable_join(blocks.select("block", "owner"), again, ["block"])
     none = F.lit(None).cast("long")
     notes = held.select(F.col("owner").alias("k1"), F.when(~F.col("hot"), F.col("block")).alias("block"), F.when(F.col("hot"), F.col("block")).alias("hot"), none.alias("k2"))
