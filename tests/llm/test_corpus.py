@@ -539,6 +539,8 @@ def test_substring_dedup(docs, texts, monkeypatch, window, block, hot):
     from tidemark.llm.substring_dedup import repeated_word_spans
 
     monkeypatch.setattr(substring_dedup, "HOT_PLACES", hot)
+    monkeypatch.setattr(substring_dedup, "LIST_WINDOWS", 3)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_WINDOWS", 0 if window == 6 else 200_000)
     got = table(repeated_word_spans(docs.withColumn("block", F.lit(1)).withColumn("k1", F.lit(1)), window, block))
     want = brute_kept(texts, window)
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(texts))] == want
@@ -698,8 +700,12 @@ def test_stages_keep_the_columns(spark, data):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = ["__lang_pred", "__score", "__text", "__digest", "__id", "__points", "__h1", "__stays", "__size", "__target", "__nth", "__copies", "size", "target", "score"]
+    wide = docs.withColumns({c: F.lit(f"own {c}") for c in odd})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, data).columns == docs.columns
+        kept = stage(spark, wide, data)
+        assert kept.columns == wide.columns
+        assert kept.where(F.greatest(*[(F.col(c) != f"own {c}").cast("int") for c in odd]) > 0).isEmpty()
 
 
 def test_language_stage_rejects_by_score_and_keeps_without_labels(spark, monkeypatch):
@@ -709,6 +715,6 @@ def test_language_stage_rejects_by_score_and_keeps_without_labels(spark, monkeyp
     docs = spark.createDataFrame([(1, "clean text", None, "s", 10), (2, "12 ?!", None, "s", 5), (3, None, None, "s", 0), (4, "zz", None, "s", 2)], DOCS)
     kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect())
     assert kept() == [1, 4]
-    scored = docs.withColumn("__lang", F.when(F.col("doc_id").isin(1, 4), "en").otherwise("und")).withColumn("__score", F.when(F.col("doc_id") == 1, 0.9).when(F.col("doc_id") == 4, 0.3).otherwise(0.0))
+    scored = docs.withColumn("__lang_pred", F.when(F.col("doc_id").isin(1, 4), "en").otherwise("und")).withColumn("__score", F.when(F.col("doc_id") == 1, 0.9).when(F.col("doc_id") == 4, 0.3).otherwise(0.0))
     monkeypatch.setattr(gru_langid, "predicted_languages", lambda *a, **k: scored)
     assert kept() == [1]

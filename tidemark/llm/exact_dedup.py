@@ -12,7 +12,8 @@
 
 Defined results: a null text counts as empty; all empty texts are one group;
 rows that repeat an identifier and a text are one document, so they share their
-decision; a null identifier sorts last; an empty table gives no rows.
+decision; a null identifier sorts last; extra columns of any name are ignored,
+or carried by ``drop_exact_duplicates``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, join_by_key, without_spaces
+from tidemark.llm.common import checkpoint, join_by_key, prefix_for, without_spaces
 
 MEMTABLE_ROWS = 100_000
 #: The filter has 16 bits for each repeated digest, up to this bound (32 MB).
@@ -164,10 +165,11 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one of each group of equal texts."""
     index = DedupIndex(docs, doc_id, text)
-    rows = docs.withColumn("__digest", index._digest())
-    alone = rows.where(~index.maybe(F.col("__digest"))).drop("__digest")
-    keep = index.decisions().where("kept").select(F.col("digest").alias("__d"), F.col("doc_id").alias("__i"), F.col("points").alias("__p")).distinct()
-    points = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    some = rows.where(index.maybe(F.col("__digest"))).withColumn("__id", F.col(doc_id).cast("long")).withColumn("__points", points)
-    kept = some.join(keep, (some["__digest"] == keep["__d"]) & some["__id"].eqNullSafe(keep["__i"]) & (some["__points"] == keep["__p"]), "left_semi")
-    return alone.unionByName(kept.dropDuplicates(["__digest", "__id"]).drop("__digest", "__id", "__points"))
+    digest, own, points, d, i, n = (prefix_for(docs) + c for c in ("digest", "id", "points", "d", "i", "n"))
+    rows = docs.withColumn(digest, index._digest())
+    alone = rows.where(~index.maybe(F.col(digest))).drop(digest)
+    keep = index.decisions().where("kept").select(F.col("digest").alias(d), F.col("doc_id").alias(i), F.col("points").alias(n)).distinct()
+    size = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    some = rows.where(index.maybe(F.col(digest))).withColumn(own, F.col(doc_id).cast("long")).withColumn(points, size)
+    kept = some.join(keep, (some[digest] == keep[d]) & some[own].eqNullSafe(keep[i]) & (some[points] == keep[n]), "left_semi")
+    return alone.unionByName(kept.dropDuplicates([digest, own]).drop(digest, own, points))

@@ -7,7 +7,8 @@ positions' log-probabilities over the document.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 without any labelled text all are; ties between languages go to the smaller
-name; repeated rows get the same answer; an empty table gives no rows.
+name; repeated rows get the same answer; extra columns of any name are ignored
+or carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import prefix_for, slices
 
 #: Bounds of the fit: different texts drawn for each language, windows for each of them. Languages have no bound.
 FIT_DOCS, FIT_WINDOWS = 400, 4
@@ -201,15 +202,15 @@ def label_texts(net: ByteGru, texts: list[bytes], span: int = SPAN, block: int =
 
 
 def predicted_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """One row for each document: doc_id, held_out, lang_pred, score; or all of ``keep`` with __lang and __score."""
+    """One row for each document: doc_id, held_out, lang_pred, score; or all of ``keep`` with the last two under the prefix that ``prefix_for`` gives."""
     net = train(docs, doc_id, text, lang)
-    spark = docs.sparkSession
+    spark, p = docs.sparkSession, prefix_for(docs)
     held = spark.sparkContext.broadcast(net)
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.when(letter, F.encode(F.col(text), "utf-8")).alias("text")) if keep is None else docs.select(*keep, F.when(letter, F.encode(F.col(text), "utf-8")).alias("__text"))
-    column = "text" if keep is None else "__text"
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.when(letter, F.encode(F.col(text), "utf-8")).alias("text")) if keep is None else docs.select(*keep, F.when(letter, F.encode(F.col(text), "utf-8")).alias(f"{p}text"))
+    column = "text" if keep is None else f"{p}text"
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != column]
-    names = ("lang_pred", "score") if keep is None else ("__lang", "__score")
+    names = ("lang_pred", "score") if keep is None else (f"{p}lang_pred", f"{p}score")
 
     def run(batches):
         own = held.value

@@ -18,7 +18,9 @@ Equal texts are met once in each task and count as often as they occur.  A
 block with more than ``HOT_PLACES`` places is not brought together: its
 stretches are cut into single windows, which are counted with partial sums in
 every task (by a 96-bit name, and the least and greatest words of a name must
-be the same), and looked up by a join that adaptive execution can split.
+be the same).  The windows that repeat are put up in lists of bounded length,
+each stretch of the block meets the lists that its windows may be in, and its
+runs of windows found there are its factors.
 
 Defined results: a null text has no words; texts shorter than a window keep
 all words; repeated rows make each other's windows repeated; a null identifier
@@ -41,6 +43,8 @@ WINDOW = 35
 BLOCK = 12
 #: Places of a block from which on its windows are counted over the cluster.
 HOT_PLACES = 4_000
+#: Windows of a hot block in one list, and repeated windows of hot blocks whose lists are broadcast; they are counted first.
+LIST_WINDOWS, BROADCAST_WINDOWS = 256, 200_000
 #: Text that a task takes in hand at once.
 PART_BYTES = 1 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -161,18 +165,25 @@ def _index_blocks(window: int, block: int):
 
 
 STRETCH = "block long, k1 long, name int, source long, at int, weight int, words binary"
-HOT_WINDOW = "w1 long, w2 int, k1 long, name int, source long, at int, weight int, words binary"
+HOT_STRETCH = "block long, k1 long, name int, at int, w1 array<long>, w2 array<int>"
+HOT_WINDOW = "block long, w1 long, w2 int, source long, weight int, words binary"
+_KINDS = {
+    STRETCH: (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()),
+    HOT_STRETCH: (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())),
+    HOT_WINDOW: (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()),
+}
 
 
-def _hand_in(window: int, block: int, hot: bool):
-    """Of each text the stretches that name a reference block; or, of hot blocks, their single windows."""
+def _hand_in(window: int, block: int, shape: str):
+    """Of each text the stretches that name a reference block; or, of hot blocks, their single windows or the windows' names."""
+    names_of = [c.split()[0] for c in shape.split(", ")]
 
     def run(batches):
         last = None
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
-                rows: list[list] = [[] for _ in range(8 if hot else 7)]
-                for k1, k2, doc, t, held, copied in zip(*(part.column(c) for c in ("k1", "k2", "doc_id", "text", "hot" if hot else "blocks", "copied")), strict=True):
+                rows: list[tuple] = []
+                for k1, k2, doc, t, held, copied in zip(*(part.column(c) for c in ("k1", "k2", "doc_id", "text", "blocks" if shape == STRETCH else "hot", "copied")), strict=True):
                     k1, k2 = k1.as_py(), k2.as_py()
                     if not held.is_valid or not len(held.values) or (k1, k2) == last:
                         continue
@@ -182,22 +193,20 @@ def _hand_in(window: int, block: int, hot: bool):
                         continue
                     h = word_hashes(words)
                     index = held.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                    weight = 1 + (k2 in (copied.as_py() or ()))
+                    weight, low, doc = 1 + (k2 in (copied.as_py() or ())), _low(k2), doc.as_py()
                     names, first, n = stretches(h, window, block)
-                    own = np.flatnonzero(np.isin(names, index))
-                    if hot:
+                    if shape != STRETCH:
                         w1, w2 = gram_hashes(h, window, _B1).view(np.int64), (gram_hashes(h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                        for i in np.concatenate([np.arange(first[s], first[s] + n[s]) for s in own]).tolist() if len(own) else ():
-                            for column, x in zip(rows, (w1[i], w2[i], k1, _low(k2), doc.as_py(), i, weight, b" ".join(words[i : i + window])), strict=True):
-                                column.append(x)
-                    else:
-                        for s in own.tolist():
-                            a = int(first[s])
-                            for column, x in zip(rows, (names[s].view(np.int64), k1, _low(k2), doc.as_py(), a, weight, b" ".join(words[a : a + int(n[s]) + window - 1])), strict=True):
-                                column.append(x)
-                if rows[0]:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()) if hot else (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=[c.split()[0] for c in (HOT_WINDOW if hot else STRETCH).split(", ")])
+                    for s in np.flatnonzero(np.isin(names, index)).tolist():
+                        name, a, b = int(names[s].view(np.int64)), int(first[s]), int(first[s] + n[s])
+                        if shape == STRETCH:
+                            rows.append((name, k1, low, doc, a, weight, b" ".join(words[a : b + window - 1])))
+                        elif shape == HOT_WINDOW:
+                            rows += [(name, int(w1[i]), int(w2[i]), doc, weight, b" ".join(words[i : i + window])) for i in range(a, b)]
+                        elif weight == 1:
+                            rows.append((name, k1, low, a, w1[a:b], w2[a:b]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS[shape], strict=True)], names=names_of)
 
     return run
 
@@ -277,16 +286,51 @@ def _remove(window: int):
     return run
 
 
+def _look_up(window: int):
+    """Stretches with a list of windows that repeat -> a factor for each run of windows in the list."""
+
+    def run(batches):
+        last, known = None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for key, k1, name, at, w1, w2, found in zip(*(batch.column(c) for c in ("list", "k1", "name", "at", "w1", "w2", "found")), strict=True):
+                if key.as_py() != last:
+                    last, known = key.as_py(), {(f["w1"], f["w2"]): f["first"] for f in found.as_py()}
+                k1, name, at = k1.as_py(), name.as_py(), at.as_py()
+                start = end = source = None
+                for i, w in enumerate(zip(w1.as_py(), w2.as_py(), strict=True)):
+                    if w in known and end == i:
+                        end = i + 1
+                    elif w in known:
+                        if end is not None:
+                            out.append((k1, name, at + start, window + end - 1 - start, source, None))
+                        start, end, source = i, i + 1, known[w]
+                if end is not None:
+                    out.append((k1, name, at + start, window + end - 1 - start, source, None))
+            if out:
+                yield _factor_batch(out)
+
+    return run
+
+
 def _hot_factors(lined: DataFrame, window: int, block: int) -> DataFrame:
-    """A factor of one window for each window of a hot block that stands elsewhere."""
-    spark = lined.sparkSession
-    path = shared_folder(spark, "hot-windows")
-    lined.where(F.size("hot") > 0).mapInArrow(_hand_in(window, block, True), HOT_WINDOW).write.parquet(path)
-    windows = spark.read.parquet(path)
-    found = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n"), F.min("words").alias("low"), F.max("words").alias("high"), F.min("source").alias("first")).where("n > 1")
-    found = found.select("w1", "w2", "first", F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two windows have one 96-bit name"))).alias("same"))
-    found = splittable_join(windows.drop("words"), found, ["w1", "w2"]).where("same is null")
-    return found.select("k1", "name", F.col("at").alias("start"), F.lit(window).alias("length"), F.col("first").alias("source"), F.lit(None).cast("int").alias("source_start"))
+    """Factors of the stretches of hot blocks."""
+    some = lined.where(F.size("hot") > 0)
+    windows = some.mapInArrow(_hand_in(window, block, HOT_WINDOW), HOT_WINDOW)
+    found = windows.groupBy("block", "w1", "w2").agg(F.sum("weight").alias("n"), F.min("words").alias("low"), F.max("words").alias("high"), F.min("source").alias("first")).where("n > 1")
+    found = checkpoint(found.select("block", "w1", "w2", "first", F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two windows have one 96-bit name"))).alias("same")))
+    lists = found.groupBy("block").agg(F.count("*").alias("n")).select("block", F.ceil(F.col("n") / LIST_WINDOWS).cast("long").alias("lists"))
+    place = lambda w, n: F.pmod(F.xxhash64(w), n)
+    packed = splittable_join(found.where("same is null"), lists, ["block"]).groupBy("block", "lists", place(F.col("w1"), F.col("lists")).alias("place")).agg(F.collect_list(F.struct("w1", "w2", "first")).alias("found"))
+    packed = packed.withColumn("list", F.concat_ws(":", "block", "place"))
+    stretches_ = some.mapInArrow(_hand_in(window, block, HOT_STRETCH), HOT_STRETCH)
+    few = found.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    lists = F.broadcast(lists) if few else lists
+    meet = stretches_.join(lists, "block") if few else splittable_join(stretches_, lists, ["block"])
+    meet = meet.withColumn("place", F.explode(F.array_distinct(F.transform("w1", lambda w: place(w, F.col("lists")))))).drop("lists")
+    packed = packed.drop("lists")
+    met = meet.join(F.broadcast(packed), ["block", "place"]) if few else splittable_join(meet, packed, ["block", "place"])
+    return met.select("list", "k1", "name", "at", "w1", "w2", "found").mapInArrow(_look_up(window), FACTORS)
 
 
 def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,7 +357,7 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOC
     notes = notes.groupBy("k1").agg(F.collect_set("block").alias("blocks"), F.collect_set("hot").alias("hot"), F.collect_set("k2").alias("copied"))
     notes = checkpoint(notes)  # a text's own blocks and no more
     lined = once.join(notes, "k1", "left")  # the one exchange of the texts
-    handed = lined.mapInArrow(_hand_in(window, block, False), STRETCH).repartition("block").sortWithinPartitions("block")
+    handed = lined.mapInArrow(_hand_in(window, block, STRETCH), STRETCH).repartition("block").sortWithinPartitions("block")
     factors = handed.mapInArrow(_parse_blocks(window), FACTORS)
     if not notes.where(F.size("hot") > 0).isEmpty():
         factors = factors.unionByName(_hot_factors(lined, window, block))
