@@ -1,4 +1,9 @@
-"""A training-corpus pipeline over the documents table: five stages, each written as Parquet and read again."""
+"""A training-corpus pipeline over the documents table: five stages, each written as Parquet and read again.
+
+Defined results: documents with a null or empty text have no letters and go in the first stage; of equal and of similar
+texts the rows that the operators name stay; repeated rows count once; columns of any name are carried up to the last
+stage; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, gru_langid, mixing, simhash
-from tidemark.llm.common import shared_folder
+from tidemark.llm.common import prefix_for, shared_folder
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -16,10 +21,11 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go, and those whose language the network scores below LEAST_SCORE; without a fitted network all with letters stay."""
+    lang, score = (prefix_for(docs) + c for c in ("lang_pred", "score"))
     judged = gru_langid.predicted_languages(docs, keep=tuple(docs.columns))
-    unfitted = (F.col("__lang") == gru_langid.UNDETERMINED) & (F.col("__score") == 0)
+    unfitted = (F.col(lang) == gru_langid.UNDETERMINED) & (F.col(score) == 0)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return judged.where(letters & (unfitted | (F.col("__score") >= LEAST_SCORE))).drop("__lang", "__score")
+    return judged.where(letters & (unfitted | (F.col(score) >= LEAST_SCORE))).drop(lang, score)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
