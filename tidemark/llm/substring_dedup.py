@@ -42,7 +42,7 @@ from tidemark.llm.common import checkpoint, shared_folder, slices, splittable_jo
 WINDOW = 35
 BLOCK = 12
 #: Places of a block from which on its windows are counted over the cluster.
-HOT_PLACES = 4_000
+HOT_PLACES = 40_000
 #: Windows of a hot block in one list, and repeated windows of hot blocks whose lists are broadcast; they are counted first.
 LIST_WINDOWS, BROADCAST_WINDOWS = 256, 200_000
 #: Text that a task takes in hand at once.
@@ -88,12 +88,14 @@ def stretches(h: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.nd
 def parse(rows: list[tuple[list[bytes], int]], window: int):
     """Greedy factors of stretches (words, weight) against each other: (row, start, length, source row, source start).
 
-    A row of weight above 1 stands for equal texts and is parsed as a source only.
+    A row of weight above 1 stands for equal texts and is parsed as a source only.  Windows are looked up by 128 bits and compared word for word.
     """
+    from xxhash import xxh3_128_digest
+
     places: dict[bytes, list[tuple[int, int]]] = {}
     keys = []
     for r, (words, _) in enumerate(rows):
-        own = [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
+        own = [xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
         keys.append(own)
         for i, key in enumerate(own):
             found = places.setdefault(key, [])
@@ -104,15 +106,16 @@ def parse(rows: list[tuple[list[bytes], int]], window: int):
             continue
         i = 0
         while i < len(keys[r]):
-            found = places[keys[r][i]]
-            source = next((p for p in found if p != (r, i)), None)
+            source = next((p for p in places[keys[r][i]] if p != (r, i)), None)
             if source is None:
                 i += 1
                 continue
             other, j = rows[source[0]][0], source[1]
-            n = window
+            n = 0
             while i + n < len(words) and j + n < len(other) and words[i + n] == other[j + n]:
                 n += 1
+            if n < window:
+                raise ValueError("two windows have one 128-bit name")
             yield r, i, n, source[0], j
             i += n - window + 1
 
@@ -215,9 +218,21 @@ def _parse_blocks(window: int):
     """Stretches sorted by block -> factors; holds those of one block, which are bounded by HOT_PLACES."""
 
     def factors(group: list[tuple]):
-        if len(group) > 1:  # windows of one stretch name one place and so differ
-            for r, i, n, q, j in parse([(g[-1].split(b" "), g[4]) for g in group], window):
-                yield group[r][0], group[r][1], group[r][3] + i, n, group[q][2], group[q][3] + j
+        if len(group) < 2:  # windows of one stretch name one place and so differ
+            return
+        classes: dict[bytes, list[tuple]] = {}
+        for row in group:
+            classes.setdefault(row[-1], []).append(row)
+        kinds = [(words.split(b" "), own) for words, own in classes.items()]
+        for words, own in kinds:
+            if len(own) > 1:  # equal stretches: a factor each, from the first, or the second for the first
+                for k, (k1, name, _, at, weight, _) in enumerate(own):
+                    if weight == 1:
+                        yield k1, name, at, len(words), own[not k][2], own[not k][3]
+        if len(kinds) > 1:
+            for r, i, n, q, j in parse([(words, 2 if len(own) > 1 else own[0][4]) for words, own in kinds], window):
+                (k1, name, _, at, _, _), source = kinds[r][1][0], kinds[q][1][0]
+                yield k1, name, at + i, n, source[2], source[3] + j
 
     def run(batches):
         group: list[tuple] = []
