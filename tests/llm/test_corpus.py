@@ -26,7 +26,7 @@ def texts():
     out = [prose(rng, rng.randrange(1, 150)) for _ in range(25)]
     out += [base] * 4 + [base.replace(" ", "  ", 3), base + " end", " " + base.upper()]
     out += [f"{prose(rng, 20)} {shared} {prose(rng, 9)}" for _ in range(4)] + [shared + " " + shared]
-    out += [None, "", "", " \n\t", "x", "a a a " * 40, "é " * 50, "word\u00a0joined \u3000 wide", "<|endoftext|> it's 1234 <|endof text|>", prose(rng, 3000)]
+    out += [None, "", "", " \n\t", "x", "a a a " * 40, "a b " * 90 + "c", "é " * 50, "word\u00a0joined \u3000 wide", "<|endoftext|> it's 1234 <|endof text|>", prose(rng, 3000)]
     return out
 
 

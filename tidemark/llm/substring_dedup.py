@@ -14,7 +14,8 @@ factor, the next window to be looked up is the first that reaches beyond it, so
 windows over the boundary of two factors are checked for themselves.  Factors
 are at least a window long; their words become duplicate spans.
 
-Equal texts are met once in each task and count as often as they occur.  A
+Equal texts are met once in each task and count as often as they occur, and
+equal stretches of one text are handed in once, with all their places.  A
 block with more than ``HOT_PLACES`` places is not brought together: its
 stretches are cut into single windows, which are counted with partial sums in
 every task (by a 96-bit name, and the least and greatest words of a name must
@@ -43,6 +44,8 @@ WINDOW = 35
 BLOCK = 12
 #: Places of a block from which on its windows are counted over the cluster.
 HOT_PLACES = 40_000
+#: Places of a block in one text from which on equal stretches count once.
+FEW_PLACES = 8
 #: Windows of a hot block in one list, and repeated windows of hot blocks whose lists are broadcast; they are counted first.
 LIST_WINDOWS, BROADCAST_WINDOWS = 256, 200_000
 #: Text that a task takes in hand at once.
@@ -147,6 +150,14 @@ def _once(batches):
                 yield batch.take(pa.array(new))
 
 
+def _different(h: np.ndarray, window: int, block: int, own: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How many different stretches name each block of ``own`` in a text, and one more if any of them repeats."""
+    names, first, n = stretches(h, window, block)
+    kinds = np.unique(np.stack([names, gram_hashes(h, window, _B1)[first], n.astype(np.uint64)]), axis=1)
+    found = np.unique(kinds[0], return_counts=True)[1]  # in the order of ``own``
+    return found + (times > found)
+
+
 def _index_blocks(window: int, block: int):
     """Blocks that each text names, with half of the text's name: more owners than are due do no harm here."""
 
@@ -159,6 +170,8 @@ def _index_blocks(window: int, block: int):
                     if len(words) >= window:
                         at, g = window_blocks(word_hashes(words), window, block)
                         own, times = np.unique(g[np.unique(at)], return_counts=True)
+                        if times.max() > FEW_PLACES:
+                            times = _different(word_hashes(words), window, block, own, times)
                         for column, x in zip(rows, (own.view(np.int64), np.full(len(own), k, np.int64), times.astype(np.int32)), strict=True):
                             column.append(x)
                 if rows[0]:
@@ -167,12 +180,12 @@ def _index_blocks(window: int, block: int):
     return run
 
 
-STRETCH = "block long, k1 long, name int, source long, at int, weight int, words binary"
-HOT_STRETCH = "block long, k1 long, name int, at int, w1 array<long>, w2 array<int>"
+STRETCH = "block long, k1 long, name int, source long, at array<int>, weight int, words binary"
+HOT_STRETCH = "block long, k1 long, name int, at array<int>, w1 array<long>, w2 array<int>"
 HOT_WINDOW = "block long, w1 long, w2 int, source long, weight int, words binary"
 _KINDS = {
-    STRETCH: (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()),
-    HOT_STRETCH: (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())),
+    STRETCH: (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()),
+    HOT_STRETCH: (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())),
     HOT_WINDOW: (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()),
 }
 
@@ -200,14 +213,24 @@ def _hand_in(window: int, block: int, shape: str):
                     names, first, n = stretches(h, window, block)
                     if shape != STRETCH:
                         w1, w2 = gram_hashes(h, window, _B1).view(np.int64), (gram_hashes(h, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    seen: dict = {}  # equal stretches, or windows, of one text
                     for s in np.flatnonzero(np.isin(names, index)).tolist():
                         name, a, b = int(names[s].view(np.int64)), int(first[s]), int(first[s] + n[s])
-                        if shape == STRETCH:
-                            rows.append((name, k1, low, doc, a, weight, b" ".join(words[a : b + window - 1])))
-                        elif shape == HOT_WINDOW:
-                            rows += [(name, int(w1[i]), int(w2[i]), doc, weight, b" ".join(words[i : i + window])) for i in range(a, b)]
+                        if shape == HOT_WINDOW:
+                            for i in range(a, b):
+                                key = (int(w1[i]), int(w2[i]))
+                                seen.setdefault(key, [(name, *key, doc), b" ".join(words[i : i + window]), 0])[2] += weight
+                            continue
+                        key = b" ".join(words[a : b + window - 1])
+                        old = seen.setdefault(key, [name, [], a, b])
+                        old[1].append(a)
+                    for key, old in seen.items():
+                        if shape == HOT_WINDOW:
+                            rows.append((*old[0], old[2], old[1]))
+                        elif shape == STRETCH:
+                            rows.append((old[0], k1, low, doc, old[1], weight, key))
                         elif weight == 1:
-                            rows.append((name, k1, low, a, w1[a:b], w2[a:b]))
+                            rows.append((old[0], k1, low, old[1], w1[old[2] : old[3]], w2[old[2] : old[3]]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS[shape], strict=True)], names=names_of)
 
@@ -218,21 +241,23 @@ def _parse_blocks(window: int):
     """Stretches sorted by block -> factors; holds those of one block, which are bounded by HOT_PLACES."""
 
     def factors(group: list[tuple]):
-        if len(group) < 2:  # windows of one stretch name one place and so differ
+        if len(group) < 2 and len(group[0][3]) < 2:  # windows of one stretch name one place and so differ
             return
         classes: dict[bytes, list[tuple]] = {}
         for row in group:
             classes.setdefault(row[-1], []).append(row)
         kinds = [(words.split(b" "), own) for words, own in classes.items()]
         for words, own in kinds:
-            if len(own) > 1:  # equal stretches: a factor each, from the first, or the second for the first
-                for k, (k1, name, _, at, weight, _) in enumerate(own):
-                    if weight == 1:
-                        yield k1, name, at, len(words), own[not k][2], own[not k][3]
+            places = [(row[2], at) for row in own[:2] for at in row[3][:2]]  # two are enough: a source, and another for itself
+            if len(places) > 1:  # equal stretches: a factor each
+                for k1, name, source, at, weight, _ in own:
+                    for one in at if weight == 1 else ():
+                        yield k1, name, one, len(words), *next(p for p in places if p != (source, one))
         if len(kinds) > 1:
-            for r, i, n, q, j in parse([(words, 2 if len(own) > 1 else own[0][4]) for words, own in kinds], window):
+            alone = lambda own: own[0][4] if len(own) == len(own[0][3]) == 1 else 2
+            for r, i, n, q, j in parse([(words, alone(own)) for words, own in kinds], window):
                 (k1, name, _, at, _, _), source = kinds[r][1][0], kinds[q][1][0]
-                yield k1, name, at + i, n, source[2], source[3] + j
+                yield k1, name, at[0] + i, n, source[2], source[3][0] + j
 
     def run(batches):
         group: list[tuple] = []
@@ -311,17 +336,13 @@ def _look_up(window: int):
             for key, k1, name, at, w1, w2, found in zip(*(batch.column(c) for c in ("list", "k1", "name", "at", "w1", "w2", "found")), strict=True):
                 if key.as_py() != last:
                     last, known = key.as_py(), {(f["w1"], f["w2"]): f["first"] for f in found.as_py()}
-                k1, name, at = k1.as_py(), name.as_py(), at.as_py()
-                start = end = source = None
+                runs: list[list] = []
                 for i, w in enumerate(zip(w1.as_py(), w2.as_py(), strict=True)):
-                    if w in known and end == i:
-                        end = i + 1
+                    if w in known and runs and runs[-1][1] == i:
+                        runs[-1][1] = i + 1
                     elif w in known:
-                        if end is not None:
-                            out.append((k1, name, at + start, window + end - 1 - start, source, None))
-                        start, end, source = i, i + 1, known[w]
-                if end is not None:
-                    out.append((k1, name, at + start, window + end - 1 - start, source, None))
+                        runs.append([i, i + 1, known[w]])
+                out += [(k1.as_py(), name.as_py(), one + i, window + j - 1 - i, source, None) for one in at.as_py() for i, j, source in runs]
             if out:
                 yield _factor_batch(out)
 
