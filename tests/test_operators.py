@@ -127,3 +127,20 @@ def test_similar_history_against_plain_python(spark, n_train):
     asked = {r["id"]: r["asked"] for r in with_asked(h, "id", "tokens").collect()}
     for r in held:
         assert asked[r[0]] == (r[0] if r[4] else min(o[0] for o in held if not o[4] and o[1:4] == r[1:4]))
+
+
+def test_suppression_keeps_a_print_whose_better_row_went(spark):
+    from tidemark.operators.transcripts import suppress_overlaps
+
+    rows = [(1, "C", 0.0, 10.0, 11.0, ""), (1, "A", 0.0, 10.0, 10.0, "p"), (1, "D", 100.0, 110.0, 5.0, "p"), (1, "E", 200.0, 210.0, 4.0, "p"), (2, "A", 0.0, 10.0, 1.0, "p")]
+    df = spark.createDataFrame(rows, "k int, item string, start double, end double, score double, print string")
+    got = suppress_overlaps(df, "k", "item", "start", "end", "score", "print").collect()
+    assert sorted((r["k"], r["item"]) for r in got) == [(1, "C"), (1, "D"), (2, "A")]
+
+
+def test_leak_rule_keeps_all_if_nothing_is_left(spark):
+    from tidemark.operators.ranking import without_leaks
+
+    train, held = spark.createDataFrame([(1, "a"), (2, "a")], "i int, key string"), spark.createDataFrame([("a",)], "key string")
+    assert without_leaks(train, held, ["key"]).count() == 2
+    assert without_leaks(train.union(spark.createDataFrame([(3, "b")], "i int, key string")), held, ["key"]).count() == 1

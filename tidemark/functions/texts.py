@@ -31,9 +31,17 @@ def token_set(text: Column) -> Column:
 
 
 def title_key(title: Column) -> Column:
-    """Key under which titles that differ in links, marks, spaces or numbers are one."""
-    text = F.regexp_replace(F.lower(F.trim(blank(title))), r"https?://\S+", "")
-    return F.substring(F.regexp_replace(F.regexp_replace(text, _TITLE_MARKS, ""), r"\d+", "#"), 1, 80)
+    """Key under which titles that differ in links, marks, spaces or numbers are one: its first 80 characters.
+
+    Where the beginning of a long text gives more than these, the rest can't change them and isn't searched.
+    """
+
+    def whole(text):
+        text = F.regexp_replace(F.lower(F.trim(text)), r"https?://\S+", "")
+        return F.regexp_replace(F.regexp_replace(text, _TITLE_MARKS, ""), r"\d+", "#")
+
+    start = whole(F.substring(F.ltrim(blank(title)), 1, 800))  # a link or number that is cut changes less than 16 characters
+    return F.substring(F.when(F.length(start) > 96, start).otherwise(whole(blank(title))), 1, 80)
 
 
 def diversity_key(col: Column) -> Column:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.steps import cut
+
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs of intervals of one key that touch, with the common stretch.
@@ -34,9 +36,9 @@ def mean_within(spans: DataFrame, points: DataFrame, keys: list[str], at: str, v
 
 def next_with(df: DataFrame, keys: list[str], at: str, flag: Column, within: float, take: list[str], backward: bool = False) -> DataFrame:
     """Each row with the nearest later (earlier) row of its key that has the flag, if it lies within so long."""
-    w = Window.partitionBy(*keys).orderBy(F.col(at).asc())
+    w = Window.partitionBy(*keys).orderBy(F.col(at).asc() if backward else F.col(at).desc())  # frames that only grow are one pass
     found = F.when(flag, F.struct(at, *take))
-    near = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if backward else F.first(found, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    near = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     out = df.withColumn("__f", near)
     close = F.abs(F.col(f"__f.{at}") - F.col(at)) <= within
     return out.select(*df.columns, *[F.when(close, F.col(f"__f.{c}")).alias(f"found_{c}") for c in [at, *take]])
@@ -50,7 +52,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str,
     both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(*keys)
     before = F.last("__r", ignorenulls=True).over(w.orderBy(at, "__k").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__r", ignorenulls=True).over(w.orderBy(F.col(at), F.col("__k").desc()).rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("__r", ignorenulls=True).over(w.orderBy(F.col(at).desc(), F.col("__k")).rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__b", before).withColumn("__a", after).where("__k = 1")
     earlier = F.col("__b").isNotNull() & (F.col("__a").isNull() | (F.col(at) - F.col(f"__b.{at}") <= F.col(f"__a.{at}") - F.col(at)))
     best = F.when(earlier, F.col("__b")).otherwise(F.col("__a"))
@@ -74,12 +76,12 @@ def token_matches(targets: DataFrame, history: DataFrame, target_id: str, histor
     than ``max(80, min(420, rows / 8))`` says little and is left out; the
     ``candidates`` rows with most shared tokens are compared.  Ties go to the smaller identifier.
     """
-    t = targets.select(F.col(target_id).alias("target_id"), F.array_distinct(tokens).alias("t"))
-    h = history.select(F.col(history_id).alias("history_id"), F.array_distinct(tokens).alias("h"))
-    total = h.agg(F.count("*").alias("__rows"))
-    asked = t.select("target_id", F.size("t").alias("tn"), F.explode("t").alias("token"))
-    # only tokens that a target has are worth posting
-    posts = h.select("history_id", F.size("h").alias("hn"), F.explode("h").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    names = F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))  # 64 bits stand for a token
+    asked = cut(targets.select(F.col(target_id).alias("target_id"), names.alias("t")).select("target_id", F.size("t").alias("tn"), F.explode("t").alias("token")))
+    total = history.agg(F.count("*").alias("__rows"))
+    # only tokens that a target has are worth posting; texts are read once for all that follows
+    posts = history.select(F.col(history_id).alias("history_id"), names.alias("h")).select("history_id", F.size("h").alias("hn"), F.explode("h").alias("token"))
+    posts = cut(posts.join(asked.select("token").distinct(), "token", "left_semi"))
     short = posts.groupBy("token").agg(F.count("*").alias("__n")).crossJoin(F.broadcast(total))
     short = short.select("token", (F.col("__n") <= F.greatest(F.lit(80), F.least(F.lit(420), F.floor(F.col("__rows") / 8)))).alias("rare"))
     listed = posts.join(short, "token")

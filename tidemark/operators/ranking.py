@@ -56,12 +56,13 @@ def time_holdout(df: DataFrame, account: str, published: str, key: str, share: f
 
 
 def without_leaks(train: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-    """Training rows that share none of the keys (blank ones aside) with the held-out rows."""
+    """Training rows that share none of the keys (blank ones aside) with the held-out rows; all of them if none would be left."""
     out = train
     for key in keys:
         seen = held.select(key).where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").distinct()
         out = out.join(seen, key, "left_anti")
-    return out.select(*train.columns)
+    out = out.select(*train.columns)
+    return train if out.isEmpty() else out
 
 
 def round_robin(df: DataFrame, label: str, labels: list[str], order: list[Column], limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,32 +61,37 @@ def merge_adjacent(df: DataFrame, key: str, order: str, start: str, end: str, te
 
 
 def suppress_overlaps(df: DataFrame, key: str, item: str, start: str, end: str, score: str, print_: str, most: float = 0.55) -> DataFrame:
-    """Greedy choice of intervals, best first: one goes if it overlaps a chosen one by more than ``most`` of the shorter, or repeats its print.
+    """Greedy choice of intervals, best first: one goes if it overlaps a chosen one by more than ``most`` of the shorter, or has the print of a chosen one.
 
-    Only intervals that could meet are compared: a key is cut where no interval
-    reaches over, each stretch is one group, and prints are held to their best
-    interval beforehand, so groups stay as small as the overlaps are.
+    Whether one is chosen depends on all that were chosen before it, so a key is
+    one pass over its rows in order of score; a task holds what one key has
+    chosen, by cells of time, and compares with the neighbouring cells only.
     """
-    best = Window.partitionBy(key, print_).orderBy(F.desc(score), item)
-    rows = df.withColumn("__b", F.row_number().over(best)).where((F.col("__b") == 1) | (F.col(print_) == "")).drop("__b")
-    w = Window.partitionBy(key).orderBy(start, item)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__new", (reach.isNull() | (reach <= F.col(start))).cast("int")).withColumn("stretch", F.sum("__new").over(w)).drop("__new")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[tuple[float, float]] = []
-        keep = []
-        ordered = pdf.sort_values([score, item], ascending=[False, True], kind="stable")
-        for a, b in zip(ordered[start], ordered[end], strict=True):
-            ok = all(min(b, d) - max(a, c) <= most * max(1e-9, min(b - a, d - c)) for c, d in chosen)
-            keep.append(ok)
-            if ok:
-                chosen.append((a, b))
-        return ordered[keep][[key, item, start, end, score]]
-
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, item, start, end, score))
-    return rows.groupBy(key, "stretch").applyInPandas(choose, schema)
+    names = [key, item, start, end, score, print_]
+
+    def choose(batches):
+        last, cells, prints, width = object(), {}, set(), 1.0
+        for batch in batches:
+            keep = []
+            columns = [batch.column(c).to_pylist() for c in (key, start, end, print_, "__width")]
+            for i, (k, a, b, name, wide) in enumerate(zip(*columns, strict=True)):
+                if k != last:
+                    last, cells, prints, width = k, {}, set(), max(wide or 0.0, 1e-9)
+                lo, hi = int(a // width), int(b // width)
+                near = (x for c in range(lo - 1, hi + 1) for x in cells.get(c, ()))
+                if (name and name in prints) or any(min(b, d) - max(a, c) > most * max(1e-9, min(b - a, d - c)) for c, d in near):
+                    continue
+                keep.append(i)
+                cells.setdefault(lo, []).append((a, b))
+                if name:
+                    prints.add(name)
+            yield batch.take(pa.array(keep, pa.int64())).select([key, item, start, end, score])
+
+    # a cell is as wide as the key's longest interval, so what overlaps starts in the same cell or one before
+    longest = df.groupBy(key).agg(F.max(F.col(end) - F.col(start)).cast("double").alias("__width"))
+    rows = df.select(*names).join(longest, key).repartition(key).sortWithinPartitions(F.col(key), F.desc(score), F.asc(item))
+    return rows.mapInArrow(choose, ", ".join(f"{c} {kinds[c]}" for c in (key, item, start, end, score)))
 
 
 def turn_differences(df: DataFrame, key: str, order: str, text: str) -> DataFrame:

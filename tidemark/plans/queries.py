@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashes, numbers, rewards, texts, times, vectors
 from tidemark.operators import baselines, dedupe, joins, ranking
+from tidemark.operators.steps import cut, spread
 from tidemark.plans.tables import SNAPS_SQL, TURNS_SQL, WORKS_SQL, read, snapshots, turns, works
 
 QUERIES: dict = {}
@@ -276,7 +277,7 @@ def time_holdout(spark, d):
 @query(f"""WITH {WORKS_SQL}, k AS (SELECT doc_id, {_TITLE_SQL} AS key, ('0x' || left(sha256(doc_id::VARCHAR), 8))::BIGINT % 5 = 0 AS held FROM works)
 SELECT doc_id FROM k WHERE NOT held AND (key = '' OR key NOT IN (SELECT key FROM k WHERE held))""")
 def leakage_guard(spark, d):
-    k = read(spark, d, "documents").select("doc_id", texts.title_key(F.col("text")).alias("key"), hashes.holdout_bucket(F.col("doc_id")).alias("b"))
+    k = cut(spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", texts.title_key(F.col("text")).alias("key"), hashes.holdout_bucket(F.col("doc_id")).alias("b")))
     return ranking.without_leaks(k.where("b != 0"), k.where("b = 0"), ["key"]).select("doc_id")
 
 
@@ -414,7 +415,7 @@ j AS (SELECT target_id, history_id, len(list_intersect(t, h)) AS shared, len(t)
 o AS (SELECT *, shared / (total - shared) AS sim, row_number() OVER (PARTITION BY target_id ORDER BY shared / (total - shared) DESC, history_id) AS rank FROM j)
 SELECT target_id, rank, history_id, shared, round(sim, 6) AS similarity FROM o WHERE rank <= 8""")
 def token_matches(spark, d):
-    tokens = lambda t, i: read(spark, d, t).select(i, texts.token_list(F.col("text")).alias("tokens"))
+    tokens = lambda t, i: spread(read(spark, d, t).select(i, "text")).select(i, texts.token_list(F.col("text")).alias("tokens"))
     m = joins.token_matches(tokens("benchmark", "item_id"), tokens("documents", "doc_id"), "item_id", "doc_id", "tokens")
     return m.select("target_id", "rank", "history_id", "shared", r6("similarity", "similarity"))
 
@@ -475,13 +476,14 @@ def engagement_reward(spark, d):
 
 
 @query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey AS views, l_suppkey * 40 AS impressions, l_quantity / 100 AS fs, l_discount AS aw, l_tax AS co, l_quantity % 7 AS likes, l_quantity % 3 AS comments, l_linenumber AS follows, l_linenumber % 2 AS neg FROM lineitem),
-r AS (SELECT *, greatest(1, views) AS v, round(least(1, CASE WHEN impressions > 0 THEN views / impressions ELSE 0 END), 4) AS play, round(least(1, (likes + comments) / greatest(1, views)), 4) AS eng, round(least(1, follows / greatest(1, views)), 4) AS fol, round(least(1, neg / greatest(1, views)), 4) AS ng FROM m)
-SELECT l_orderkey, l_linenumber, round(0.0000314::DOUBLE + greatest(0, least(100, 100 * (0.12 * (CASE WHEN impressions <= 0 THEN 0.5 ELSE least(1, play / 0.35) END) + 0.22 * fs + 0.20 * aw + 0.16 * co + 0.12 * least(1, eng / 0.08) + 0.05 * least(1, fol / 0.01) + 0.05 * least(1, comments / v / 0.02) - 0.20 * least(1, ng / 0.02)))), 4) AS reward FROM r""")
+r AS (SELECT *, greatest(1, views) AS v, CASE WHEN impressions > 0 THEN least(10000, (views * 20000 + impressions) // (2 * impressions)) ELSE 0 END / 10000 AS play, least(10000, ((likes + comments)::BIGINT * 20000 + greatest(1, views)) // (2 * greatest(1, views))) / 10000 AS eng,
+  least(10000, (follows * 20000 + greatest(1, views)) // (2 * greatest(1, views))) / 10000 AS fol, least(10000, (neg * 20000 + greatest(1, views)) // (2 * greatest(1, views))) / 10000 AS ng FROM m)
+SELECT l_orderkey, l_linenumber, round(greatest(0, least(100, 100 * (0.12 * (CASE WHEN impressions <= 0 THEN 0.5 ELSE least(1, play / 0.35) END) + 0.22 * fs + 0.20 * aw + 0.16 * co + 0.12 * least(1, eng / 0.08) + 0.05 * least(1, fol / 0.01) + 0.05 * least(1, comments / v / 0.02) - 0.20 * least(1, ng / 0.02)))), 9) AS reward FROM r""")
 def reward_proxy(spark, d):
     li = read(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("views"), (F.col("l_suppkey") * 40).alias("impressions"), (F.col("l_quantity") / 100).alias("five_second_retention"), F.col("l_discount").alias("avg_watch_ratio"), F.col("l_tax").alias("completion_rate"),
         F.lit(0.0).alias("rewatch_rate"), (F.col("l_quantity") % 7).alias("likes"), (F.col("l_quantity") % 3).alias("comments"), F.lit(0).alias("favorites"), F.lit(0).alias("shares"), F.col("l_linenumber").alias("follows"), (F.col("l_linenumber") % 2).alias("negative_feedback"))
-    return li.select("l_orderkey", "l_linenumber", F.round(F.lit(0.0000314) + rewards.reward_proxy(), 4).alias("reward"))
+    return li.select("l_orderkey", "l_linenumber", F.round(rewards.reward_proxy(), 9).alias("reward"))
 
 
 _WORDS = ["token", "password", "the", "und", "les", "license"]
@@ -506,7 +508,7 @@ def tag_extraction(spark, d):
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM pages""")
 def page_text(spark, d):
-    return read(spark, d, "pages").select("page_id", texts.plain_text(F.col("html")).alias("body"))
+    return spread(read(spark, d, "pages").select("page_id", "html")).select("page_id", texts.plain_text(F.col("html")).alias("body"))
 
 
 @query(r"""SELECT page_id, nullif(regexp_extract(url, '[?&]page=(\d+)', 1), '') AS in_query, nullif(regexp_extract(url, '\d{4,}', 0), '') AS long_digits FROM pages""")
@@ -542,14 +544,23 @@ def subtitle_stamps(spark, d):
     return turns(spark, d).select("conv_id", "turn", stamp(F.col("start")).alias("stamp"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TURNS_SQL}, e AS (SELECT conv_id, turn, start, "end", coalesce(text, '') AS text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM turns),
+g AS (SELECT conv_id, rn, turn AS "first", start, "end", text, role AS tag, 1::BIGINT AS pieces FROM e WHERE rn = 1
+  UNION ALL SELECT conv_id, rn, CASE WHEN m THEN "first" ELSE turn END, CASE WHEN m THEN gs ELSE es END, ee, CASE WHEN m THEN trim(gt || ' ' || et) ELSE et END, role, CASE WHEN m THEN pieces + 1 ELSE 1 END FROM (
+    SELECT e.conv_id, e.rn, g."first", e.turn, g.start AS gs, e.start AS es, e."end" AS ee, g.text AS gt, e.text AS et, e.role, g.pieces,
+      e.role IS NOT DISTINCT FROM g.tag AND e.start - g."end" <= 0.75 AND (length(g.text) <= 24 OR length(e.text) <= 24) AND e."end" - g.start <= 8 AS m FROM g JOIN e ON e.conv_id = g.conv_id AND e.rn = g.rn + 1))
+SELECT conv_id, arg_max("first", rn) AS "first", arg_max(start, rn) AS start, arg_max("end", rn) AS "end", arg_max(text, rn) AS text, arg_max(tag, rn) AS tag, max(pieces) AS pieces FROM g GROUP BY conv_id, "first" """)
 def merged_turns(spark, d):
     from tidemark.operators import transcripts
 
     return transcripts.merge_adjacent(turns(spark, d), "conv_id", "turn", "start", "end", "text", "role")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS start, epoch(ts)::DOUBLE + 3600 AS "end", value, coalesce(props, '') AS print, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events),
+g AS (SELECT user_id, rn, event_id, true AS ok, [start] AS starts, [print] AS prints FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, rn, event_id, ok, CASE WHEN ok THEN list_append(starts, start) ELSE starts END, CASE WHEN ok THEN list_append(prints, print) ELSE prints END FROM (
+    SELECT e.*, g.starts, g.prints, (e.print = '' OR NOT list_contains(g.prints, e.print)) AND len(list_filter(g.starts, lambda s: least(s + 3600, e."end") - greatest(s, e.start) > 0.55::DOUBLE * 3600)) = 0 AS ok FROM g JOIN e ON e.user_id = g.user_id AND e.rn = g.rn + 1))
+SELECT e.user_id, e.event_id, e.start, e."end", e.value FROM g JOIN e USING (user_id, rn) WHERE ok""")
 def interval_suppression(spark, d):
     from tidemark.operators import transcripts
 
@@ -592,7 +603,7 @@ def _baseline_scored(spark, d):
     from tidemark.plans import backtest
 
     rows = works(spark, d).withColumn("title_key", texts.title_key(F.col("text"))).drop("text")
-    split = ranking.time_holdout(rows, "account", "published", "doc_id")
+    split = cut(ranking.time_holdout(rows, "account", "published", "doc_id"))
     held = split.where("split = 'eval'")
     return backtest.baseline_scores(held, ranking.without_leaks(split.where("split = 'train'"), held, ["title_key"]), "reward")
 
@@ -638,7 +649,7 @@ def tuning_grid(spark, d):
 def strategy_backtest(spark, d):
     from tidemark.plans import backtest
 
-    w = works(spark, d).withColumn("reward", F.percent_rank().over(_by_category()) * 100)
+    w = spread(works(spark, d)).withColumn("reward", F.percent_rank().over(_by_category()) * 100)
     rep = backtest.strategy_report(backtest.strategy_scores(w), "doc_id", "reward", backtest.STRATEGIES)
     return rep.select("strategy", "n", *[r6(c, c) for c in ("ndcg", "hit_rate", "lift", "high_hit", "low_avoidance", "mae")])
 
