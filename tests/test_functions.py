@@ -97,3 +97,13 @@ def test_hashes_match_python(spark):
 def test_cosine(spark):
     rows = [([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-1.0, 0.0]), ([1.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])]
     assert [r[0] for r in values(spark, rows, "a array<double>, b array<double>", vectors.cosine(F.col("a"), F.col("b")))] == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_category_rules_in_order_and_case(spark):
+    from tidemark.functions.classifiers import category, hook
+
+    rows = [("幕后 世界杯", None), ("姆巴佩", None), ("great REACTION", None), ("歌手2025", None), ("歌手2025", "song"), ("nothing", "song"), ("nothing", None), ("浪姐", None)]
+    df = spark.createDataFrame(rows, "text string, song string")
+    got = [r[0] for r in df.select(category(F.col("text"), F.col("song"))).collect()]
+    assert got == ["behind_the_scenes", "sports_entertainment", "reaction", "music_variety", "performance_clip", "performance_clip", "unknown", "entertainment_news"]
+    assert [r[0] for r in df.select(hook(F.col("text"))).collect()][2] == "reaction"

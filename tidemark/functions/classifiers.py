@@ -10,25 +10,26 @@ from pyspark.sql import functions as F
 # ---- fixed values: rule words, in the order in which rules are tried ----
 CATEGORY_RULES = [
     ("behind_the_scenes", ["幕后", "花絮", "排练", "采访"]),
-    ("sports_entertainment", ["世界杯", "足球", "球赛", "球迷", "裁判"]),
+    ("sports_entertainment", ["世界杯", "足球", "球赛", "球迷", "裁判", "C罗", "姆巴佩", "哈兰德"]),
     ("creative_ai", ["AI", "ai", "ChatGPT", "二创", "漫剧", "课件"]),
     ("lifestyle", ["美食", "粽子", "端午", "龙舟", "吃喝玩乐", "水上乐园", "乐园", "酱油"]),
-    ("drama_film", ["电影", "MV", "电视剧", "短剧"]),
+    ("drama_film", ["电影", "MV", "电视剧", "短剧", "昨夜将至", "芭比"]),
     ("life_emotion", ["高考", "成长", "女性力量", "治愈", "勇气", "家庭"]),
-    ("entertainment_news", ["综艺", "奔跑吧", "男团", "韩娱", "偶像", "cp", "CP"]),
+    ("entertainment_news", ["综艺", "奔跑吧", "爸爸当家", "乘风", "浪姐", "时代少年团", "时团", "男团", "韩娱", "偶像", "cp", "CP", "CORTIS", "cortis", "riize", "top登陆少年", "snh48", "SNH48"]),
     ("humor_entertainment", ["搞笑", "抽象", "整活", "笑得", "绷住", "萌娃"]),
     ("judge_comment", ["点评", "导师", "评价", "晋级", "淘汰"]),
-    ("reaction", ["reaction", "反应", "观众", "全场"]),
+    ("reaction", ["(?i)reaction", "反应", "观众", "全场"]),
     ("compilation", ["合集", "盘点", "混剪"]),
     ("commentary", ["声乐", "唱歌技巧", "解析", "教学", "分析"]),
     ("performance_clip", ["清唱", "无伴奏", "合唱", "副歌", "唱", "舞台"]),
+    ("music_variety", ["天赐的声音", "歌手2025", "歌手2026"]),
 ]
 HOOK_RULES = [
     ("funny", ["搞笑", "抽象", "整活", "绷住", "笑得", "萌晕"]),
     ("remix_creation", ["AI", "ai", "ChatGPT", "二创", "漫剧", "课件"]),
     ("topical_hook", ["世界杯", "足球", "端午", "高考", "热点", "出分"]),
     ("high_note", ["高音", "爆发", "力量", "唱功", "直击", "炸场"]),
-    ("reaction", ["reaction"]),
+    ("reaction", ["(?i)reaction"]),
     ("emotional_story", ["遗憾", "想见你", "有我呢", "靠近", "心底", "泪", "爱情故事", "成长", "勇气", "治愈", "真诚", "女性力量"]),
     ("chorus", ["副歌"]),
     ("judge_comment", ["导师", "点评", "评价"]),
@@ -76,8 +77,8 @@ LEVEL_FROM = [("L7", 1_000_000), ("L6", 500_000), ("L5", 100_000), ("L4", 50_000
 
 
 def has_word(text: Column, words: list[str]) -> Column:
-    """One regular expression for all words of a rule; case counts."""
-    return text.rlike("|".join(re.escape(w) for w in words))
+    """One regular expression for all words of a rule; case counts, except for words marked with ``(?i)``."""
+    return text.rlike("|".join(f"(?i:{re.escape(w[4:])})" if w.startswith("(?i)") else re.escape(w) for w in words))
 
 
 def first_rule(text: Column, rules: list[tuple[str, list[str]]], default: str = "unknown") -> Column:
@@ -92,7 +93,7 @@ def first_rule(text: Column, rules: list[tuple[str, list[str]]], default: str =
 def category(text: Column, song: Column | None = None) -> Column:
     """Content category; a known song makes a performance of what no rule takes."""
     found = first_rule(text, CATEGORY_RULES)
-    return found if song is None else F.when((found == "unknown") & (F.coalesce(song, F.lit("")) != ""), "performance_clip").otherwise(found)
+    return found if song is None else F.when(found.isin("unknown", "music_variety") & (F.coalesce(song, F.lit("")) != ""), "performance_clip").otherwise(found)
 
 
 def hook(text: Column) -> Column:

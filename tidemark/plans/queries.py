@@ -721,3 +721,6 @@ def energy_peaks(spark, d):
     w = Window.partitionBy("user_id")
     e = read(spark, d, "events").withColumn("energy", F.col("value") / F.max("value").over(w)).withColumn("delta", F.lead("value").over(w.orderBy("ts", "event_id")) - F.col("value")).withColumn("time", F.col("event_id"))
     return peaks(e, "user_id").select("user_id", "event_id", r6("energy", "energy"), r6("delta", "delta"), "rank")
+
+
+from tidemark.plans import history_queries  # noqa: E402, F401  registers its queries
