@@ -148,3 +148,20 @@ def best_fit(keys: list[str], fit: str, *tables: DataFrame) -> DataFrame:
 def dataset_summary(df: DataFrame, keys: list[str], item: str, reward: str, label: str) -> DataFrame:
     """Rows, different items, labelled rows, mean and best reward, and whether items repeat, of each dataset."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(item).alias("items"), F.count(label).alias("labelled"), F.avg(reward).alias("mean"), F.max(reward).alias("best"), safe_ratio(F.count(label), F.count("*")).alias("coverage")).withColumn("repeats", F.col("n") > F.col("items"))
+
+
+def identity(item: Column, sample_key: Column, row_id: Column) -> Column:
+    """What a captured row is one of: its item, else its title key, else itself."""
+    title = F.when(F.startswith(_text(sample_key), F.lit("title:")) & (F.length(_text(sample_key)) > 6), _text(sample_key))
+    return F.coalesce(F.when(_text(item) != "", F.concat(F.lit("item:"), _text(item))), title, F.concat(F.lit("id:"), row_id.cast("string")))
+
+
+def lookup_by_name(df: DataFrame, name: str, other: DataFrame, other_name: str, other_id: str, found: str) -> DataFrame:
+    """Each row with the least identifier of ``other`` whose name is the same without regard to case."""
+    ids = other.groupBy(F.lower(F.trim(other_name)).alias("__n")).agg(F.min(other_id).alias(found))
+    return df.join(ids, F.lower(F.trim(F.col(name))) == F.col("__n"), "left").select(*df.columns, found)
+
+
+def prototype_order(count: str, stability: str, lift: str, score: str, confidence: str, best: str) -> list[Column]:
+    """Mature groups (three rows) first, then by stability, lift, score times confidence, rows and best row."""
+    return [(F.col(count) >= 3).desc(), F.desc(stability), F.desc(lift), (F.col(score) * F.col(confidence)).desc(), F.desc(count), F.desc(best)]

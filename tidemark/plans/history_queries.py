@@ -135,3 +135,37 @@ def dashboard_totals(spark, d):
 def top_suggestions(spark, d):
     score = F.coalesce(F.nullif(F.col("s_acctbal"), F.lit(0.0)), F.lit(1.0))
     return read(spark, d, "supplier").select("s_suppkey", score.alias("score")).orderBy(F.desc("score"), "s_suppkey").limit(15)
+
+
+@query(f"""WITH {_SAMPLES}, k AS (SELECT *, CASE WHEN item <> '' THEN 'item:' || item WHEN length(sample_key) > 6 THEN sample_key ELSE 'id:' || event_id END AS identity FROM s)
+SELECT identity, event_id, views FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY views DESC, value DESC, event_id DESC) AS r FROM k) WHERE r = 1""")
+def identity_dedup(spark, d):
+    from tidemark.operators import dedupe
+
+    s = _samples(spark, d).withColumn("identity", history.identity(F.col("item"), F.col("sample_key"), F.col("event_id")))
+    return dedupe.keep_best(s, ["identity"], [F.col("views"), F.col("value"), F.col("event_id")]).select("identity", "event_id", "views")
+
+
+@query("""SELECT n_nationkey, r.id AS region_id FROM nation LEFT JOIN (SELECT lower(r_name) AS n, min(r_regionkey) AS id FROM region GROUP BY ALL) r ON lower(CASE n_regionkey WHEN 0 THEN 'africa' WHEN 1 THEN ' America ' ELSE n_name END) = r.n OR lower(trim(CASE n_regionkey WHEN 1 THEN ' America ' END)) = r.n""")
+def lookup_by_name(spark, d):
+    asked = F.when(F.col("n_regionkey") == 0, "africa").when(F.col("n_regionkey") == 1, " America ").otherwise(F.col("n_name"))
+    return history.lookup_by_name(read(spark, d, "nation").select("n_nationkey", asked.alias("asked")), "asked", read(spark, d, "region"), "r_name", "r_regionkey", "region_id").select("n_nationkey", "region_id")
+
+
+@query("""SELECT o_orderkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' WHERE o_orderstatus = 'F'""")
+def lines_with_literal(spark, d):
+    o, li = read(spark, d, "orders").where("o_orderstatus = 'F'"), read(spark, d, "lineitem")
+    return o.join(li, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_returnflag") == "R"), "left").select("o_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT doc_id, quality, source FROM labels LEFT JOIN documents USING (doc_id) WHERE source = 'src1'""")
+def labels_of_account(spark, d):
+    return read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id", "left").where("source = 'src1'").select("doc_id", "quality", "source")
+
+
+@query(f"""WITH {WORKS_SQL}, g AS (SELECT account, category, count(*) AS n, round(stddev_pop(reward), 3) AS stability, round(max(reward) / avg(reward), 3) AS lift, round(avg(reward), 3) AS score, least(1, count(*) / 20) AS confidence, max(reward) AS best FROM works GROUP BY ALL)
+SELECT account, category, n FROM g ORDER BY n >= 3 DESC, stability DESC, lift DESC, score * confidence DESC, n DESC, best DESC, account, category LIMIT 12""")
+def ranked_prototypes(spark, d):
+    g = works(spark, d).groupBy("account", "category").agg(F.count("*").alias("n"), F.round(F.stddev_pop("reward"), 3).alias("stability"), F.round(F.max("reward") / F.avg("reward"), 3).alias("lift"), F.round(F.avg("reward"), 3).alias("score"), F.max("reward").alias("best"))
+    g = g.withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 20))
+    return g.orderBy(*history.prototype_order("n", "stability", "lift", "score", "confidence", "best"), "account", "category").limit(12).select("account", "category", "n")
