@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.steps import shared_root
+
 
 def windowed_totals(events: DataFrame, ts: str, key: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and total of ``value`` by event-time window and key; rows later than ``late`` are dropped from a stream."""
@@ -20,15 +22,27 @@ def first_seen(events: DataFrame, ts: str, keys: list[str], late: str = "2 hours
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def totals_table(events: DataFrame, ts: str, key: str, value: str, folder: str, **how: str) -> DataFrame:
+    """``windowed_totals`` of all that a stream has at hand, kept as a table below ``folder``.
+
+    The folder holds the stream's cursor, so a later call reads new rows only. Each batch writes the windows that it
+    changed as Parquet (a batch that is run again overwrites its own); a window counts as its last batch left it.
+    """
+    totals = windowed_totals(events, ts, key, value, **how)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/totals/part-{number}")
+
+    totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start().awaitTermination()
+    kept = events.sparkSession.read.schema(totals.withColumn("batch", F.lit(0).cast("long")).schema).parquet(f"{folder}/totals/part-*")
+    return kept.groupBy("window_start", key).agg(F.max_by(F.struct("n", "total"), "batch").alias("__l")).select("window_start", key, "__l.n", "__l.total")
+
+
 def windowed_totals_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events at hand through the stream, in complete mode: the windows' totals."""
+    """All events at hand through the stream, into a folder of this run."""
     from tidemark.plans.tables import read
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = "tidemark_windows_" + str(abs(hash(sf_dir)))
-    totals = windowed_totals(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
-    q = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}-{spark.sparkContext.applicationId}-{id(stream)}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+    totals = totals_table(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", f"{shared_root(spark)}/windows-{uuid.uuid4().hex}")
+    return totals.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
