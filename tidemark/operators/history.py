@@ -165,3 +165,45 @@ def lookup_by_name(df: DataFrame, name: str, other: DataFrame, other_name: str,
 def prototype_order(count: str, stability: str, lift: str, score: str, confidence: str, best: str) -> list[Column]:
     """Mature groups (three rows) first, then by stability, lift, score times confidence, rows and best row."""
     return [(F.col(count) >= 3).desc(), F.desc(stability), F.desc(lift), (F.col(score) * F.col(confidence)).desc(), F.desc(count), F.desc(best)]
+
+
+def scope_stats(df: DataFrame, keys: list[str], identity: Column, item: str, order: list[str], flags: dict[str, Column], metrics: list[str]) -> DataFrame:
+    """What each scope stores and knows: rows, different ones (each by its best row), repeated items, flagged rows, known metrics.
+
+    ``flags`` must name ``mock``; all figures but stored, different and repeats leave mock rows out.
+    """
+    facts = {**flags, **{f"known_{m}": _some(F.col(m)) for m in metrics}}
+    rows = df.select(*keys, identity.alias("__id"), _text(F.col(item)).alias("__item"), F.struct(*order).alias("__o"), F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in facts.items()]).alias("__f"))
+    best = rows.groupBy(*keys, "__id").agg(F.count("*").alias("__n"), F.max("__item").alias("__item"), F.max_by("__f", "__o").alias("__f"))
+    formal = ~F.col("__f.mock")
+    g = best.groupBy(*keys).agg(
+        F.sum("__n").alias("stored"), F.count("*").alias("different"), F.count_if((F.col("__n") > 1) & (F.col("__item") != "")).alias("repeats"), F.count_if(formal).alias("formal"),
+        *[F.count_if(formal & F.col(f"__f.{n}")).alias(n) for n in facts if n != "mock"],
+    )
+    return g.withColumns({f"{n}_rate": safe_ratio(F.col(n), F.col("formal")) for n in facts if n != "mock"})
+
+
+def batch_summary(df: DataFrame, saved: Column, account: str, fields: str, k: int = 6, accounts: int = 8) -> DataFrame:
+    """A calibration batch in one long table (part, name, n): rows pending and saved, the fields that most rows ask for, the accounts with most rows."""
+    pending = df.where(~saved)
+    counts = df.agg(F.count_if(~saved).alias("pending"), F.count_if(saved).alias("saved")).withColumn("part", F.lit("rows")).unpivot(["part"], ["pending", "saved"], "name", "n")
+
+    def most(names: DataFrame, part: str, limit: int) -> DataFrame:
+        return names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(limit).select(F.lit(part).alias("part"), "name", "n")
+
+    named = F.coalesce(F.nullif(_text(F.col(account)), F.lit("")), F.lit("unknown"))
+    return counts.unionByName(most(pending.select(F.explode(fields).alias("name")), "fields", k)).unionByName(most(pending.select(named.alias("name")), "accounts", accounts))
+
+
+def first_filled(*tables: DataFrame) -> DataFrame:
+    """The rows of the first table that has any, so later sources only stand in for empty ones; the tables have the same columns."""
+    out = tables[-1]
+    for t in reversed(tables[:-1]):
+        some = t.limit(1).select(F.lit(True).alias("__some"))  # one row at most
+        out = t.unionByName(out.join(F.broadcast(some), F.lit(True), "left_anti"), allowMissingColumns=True)
+    return out
+
+
+def joined_text(*parts: Column) -> Column:
+    """Fields as one text, blank where they are missing, each with its space."""
+    return F.concat_ws(" ", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

@@ -169,3 +169,42 @@ def ranked_prototypes(spark, d):
     g = works(spark, d).groupBy("account", "category").agg(F.count("*").alias("n"), F.round(F.stddev_pop("reward"), 3).alias("stability"), F.round(F.max("reward") / F.avg("reward"), 3).alias("lift"), F.round(F.avg("reward"), 3).alias("score"), F.max("reward").alias("best"))
     g = g.withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 20))
     return g.orderBy(*history.prototype_order("n", "stability", "lift", "score", "confidence", "best"), "account", "category").limit(12).select("account", "category", "n")
+
+
+@query(f"""WITH {_SAMPLES}, f AS (SELECT *, CASE WHEN item <> '' THEN 'item:' || (event_id % 400) WHEN starts_with(sample_key, 'title:') AND length(sample_key) > 6 THEN sample_key ELSE 'id:' || event_id END AS identity, CASE WHEN item <> '' THEN (event_id % 400)::VARCHAR ELSE '' END AS it, {_MOCK} AS mock FROM s),
+b AS (SELECT user_id, identity, count(*) AS n, max(it) AS it, arg_max(mock, event_id) AS mock, arg_max(views > 0, event_id) AS kv, arg_max(likes > 0, event_id) AS kl, arg_max(value > 50, event_id) AS strong FROM f GROUP BY ALL),
+g AS (SELECT user_id, sum(n)::BIGINT AS stored, count(*) AS different, count(*) FILTER (n > 1 AND it <> '') AS repeats, count(*) FILTER (NOT mock) AS formal, count(*) FILTER (NOT mock AND strong) AS strong, count(*) FILTER (NOT mock AND kv) AS known_views, count(*) FILTER (NOT mock AND kl) AS known_likes FROM b GROUP BY ALL)
+SELECT *, CASE WHEN formal = 0 THEN 0 ELSE round(known_likes / formal, 6) END AS known_likes_rate FROM g""")
+def scope_statistics(spark, d):
+    c = F.col
+    s = _samples(spark, d).withColumn("it", F.when(c("item") != "", (c("event_id") % 400).cast("string")).otherwise(""))
+    g = history.scope_stats(s, ["user_id"], history.identity(c("it"), c("sample_key"), c("event_id")), "it", ["event_id"], {"mock": history.is_mock(c("kind"), c("raw")), "strong": c("value") > 50}, ["views", "likes"])
+    return g.select("user_id", "stored", "different", "repeats", "formal", "strong", "known_views", "known_likes", r6("known_likes_rate", "known_likes_rate"))
+
+
+_FIELDS = "[CASE WHEN event_id % 2 = 0 THEN 'hook_type' END, CASE WHEN event_id % 3 = 0 THEN 'artist_names' END, CASE WHEN event_id % 5 = 0 THEN 'slice_structure' END]"
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN user_id % 30 = 0 THEN 'unknown' ELSE (user_id % 30)::VARCHAR END AS account, event_id % 4 = 0 AS saved, {_FIELDS} AS fields FROM events),
+f AS (SELECT name, count(*) AS n FROM (SELECT unnest(fields) AS name FROM e WHERE NOT saved) WHERE name IS NOT NULL GROUP BY ALL ORDER BY n DESC, name LIMIT 6), a AS (SELECT account AS name, count(*) AS n FROM e WHERE NOT saved GROUP BY ALL ORDER BY n DESC, name LIMIT 8)
+SELECT 'rows' AS part, 'pending' AS name, count(*) FILTER (NOT saved) AS n FROM e UNION ALL SELECT 'rows', 'saved', count(*) FILTER (saved) FROM e UNION ALL SELECT 'fields', name, n FROM f UNION ALL SELECT 'accounts', name, n FROM a""")
+def calibration_batch(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    fields = F.array_compact(F.array(F.when(i % 2 == 0, "hook_type"), F.when(i % 3 == 0, "artist_names"), F.when(i % 5 == 0, "slice_structure")))
+    e = read(spark, d, "events").select("event_id", F.when(u % 30 > 0, u % 30).alias("account"), fields.alias("fields"))
+    return history.batch_summary(e, i % 4 == 0, "account", "fields")
+
+
+@query("""SELECT event_id, 'stored' AS origin, event_type || ' ' || ' ' || value AS text FROM events WHERE event_id % 3 = 0""")
+def sample_sources(spark, d):
+    """Captured metrics are missing, stored samples stand in, and files are not asked."""
+    e = read(spark, d, "events").select("event_id", history.joined_text(F.col("event_type"), F.lit(None), F.col("value")).alias("text"))
+    return history.first_filled(e.where("event_id < -1").withColumn("origin", F.lit("metrics")), e.where("event_id % 3 = 0").withColumn("origin", F.lit("stored")), e.withColumn("origin", F.lit("files"))).select("event_id", "origin", "text")
+
+
+@query(f"""WITH {WORKS_SQL} SELECT doc_id, account, views FROM (SELECT *, row_number() OVER (PARTITION BY account, views // 50 ORDER BY reward DESC NULLS LAST, label IS NOT NULL DESC, published DESC, doc_id) AS r FROM works) WHERE r = 1""")
+def prototype_samples(spark, d):
+    from tidemark.operators import prototypes
+
+    order = [F.desc("reward"), F.col("label").isNotNull().desc(), F.desc("published"), F.asc("doc_id")]
+    return prototypes.best_samples(works(spark, d).drop("text").withColumn("cell", F.floor(F.col("views") / 50)), ["account", "cell"], order).select("doc_id", "account", "views")
