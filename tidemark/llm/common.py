@@ -48,6 +48,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_folder`` named."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def prefix_for(*frames: DataFrame) -> str:
     """A beginning that no column of ``frames`` has, so that working columns clash with none of the user's."""
     names = [c.lower() for df in frames for c in df.columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, gru_langid, mixing, permutation_ann, simhash, substring_dedup, url_rules, warc
+from tidemark.llm import bpe, exact_dedup, gru_langid, lexical_search, mixing, permutation_ann, quality_trees, simhash, substring_dedup, url_rules, warc, whitening
 from tidemark.operators.steps import spread
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -64,13 +64,26 @@ def op10_warc(spark, sf_dir):
     return warc.page_archive(_read(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened_vectors(_read(spark, sf_dir, "embeddings")).drop("deviation_digits")
+
+
+def op12_quality_trees(spark, sf_dir):
+    return quality_trees.quality_scores(_read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.ranked_documents(_read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
-    found = (op1_mixing, op2_permutation_ann, op3_exact_dedup, op4_url_rules, op5_bpe, op6_simhash, op7_licenses, op8_gru_langid, op9_substring_dedup, op10_warc)
+    found = (op1_mixing, op2_permutation_ann, op3_exact_dedup, op4_url_rules, op5_bpe, op6_simhash, op7_licenses, op8_gru_langid, op9_substring_dedup, op10_warc, op11_whitening, op12_quality_trees, op13_lexical_search)
     return {f.__name__: f for f in found}
 
 
 _WS = r"[\x20\x09-\x0D]"
 _DOTTED = "('.' || host)"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 SQL = {
     "op1_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -114,6 +127,15 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND low <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND low <> page_id THEN low END AS refers_to FROM g
+""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), c AS (SELECT count(*) AS total, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark), q AS (SELECT i, item_id, unnest(w) AS term FROM i),
+t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d), p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
+s AS (SELECT r, doc_id, term, floor(1000 * ln((2 * total + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total) // words))) AS s FROM p JOIN f USING (term), c),
+k AS (SELECT i, item_id, r, doc_id, sum(s)::BIGINT AS score FROM q JOIN s USING (term) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM k WHERE score > 0) WHERE rank <= 20
 """,
 }
 
