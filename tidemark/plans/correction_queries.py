@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, texts
-from tidemark.operators import corrections
+from tidemark.operators import corrections, syncing
 from tidemark.operators.steps import shared_root
 from tidemark.plans.queries import query, r6
 from tidemark.plans.tables import read
@@ -144,3 +144,57 @@ def memory_bank(spark, d):
     later = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("toxic") == 1, " more").otherwise("")).alias("text"))
     runs = [corrections.memory_bank(log, rows, "text", texts.token_list(F.col("text"))) for rows in (first, first, later, later)]
     return _runs(spark, runs, ["created", "reused", "total"])
+
+
+_ROWS = """r AS (SELECT '99' || lpad((event_id % 3000)::VARCHAR, 10, '0') AS item, 'w' || hour(ts) % 3 AS window, CASE WHEN event_id % 3 = 0 THEN ((event_id * 7) % 2500)::VARCHAR WHEN event_id % 3 = 1 THEN ' ' END AS target, (user_id * 10 + event_id % 10)::DOUBLE AS value, least(2, day(ts) // 11) AS part FROM events),
+b AS (SELECT part, item, max(nullif(trim(target), '')) AS target FROM r GROUP BY ALL), parts AS (SELECT unnest([0, 1, 2]) AS part),
+mp AS (SELECT p.part, b.item, arg_max(b.target, b.part) FILTER (b.target IS NOT NULL) AS target FROM parts p JOIN b ON b.part <= p.part GROUP BY ALL),
+l AS (SELECT r.*, coalesce(a.c, m.c) AS link FROM r LEFT JOIN (SELECT c_custkey::VARCHAR AS c FROM customer) a ON a.c = trim(r.target) LEFT JOIN mp ON mp.part = r.part AND mp.item = r.item LEFT JOIN (SELECT c_custkey::VARCHAR AS c FROM customer) m ON m.c = mp.target),
+g AS (SELECT part, item, "window", max(value) AS value, arg_max(coalesce(link, ''), {'v': coalesce(value, -1), 'l': coalesce(link, '')}) AS target FROM l GROUP BY ALL),
+h AS (SELECT *, (SELECT {'t': arg_max(nullif(o.target, ''), o.part) FILTER (o.target <> ''), 'v': arg_max(o.value, o.part), 'n': count(*)} FROM g o WHERE o.item = g.item AND o."window" = g."window" AND o.part < g.part) AS old FROM g)"""
+
+
+def _platform_rows(spark, d):
+    i = F.col("event_id")
+    target = F.when(i % 3 == 0, (i * 7 % 2500).cast("string")).when(i % 3 == 1, " ")
+    return read(spark, d, "events").select(
+        F.concat(F.lit("ID:99"), F.lpad((i % 3000).cast("string"), 10, "0")).alias("item"), F.concat(F.lit("w"), (F.hour("ts") % 3).cast("string")).alias("window"), target.alias("target"),
+        (F.col("user_id") * 10 + i % 10).cast("string").alias("value"), F.least(F.lit(2), F.floor(F.dayofmonth("ts") / 11)).alias("part"),
+    )
+
+
+def _synced(spark, d):
+    platform = syncing.Platform.below(spark, f"{shared_root(spark)}/platform-{uuid.uuid4().hex}")
+    rows = _platform_rows(spark, d)
+    known = read(spark, d, "customer")
+    for part in range(3):
+        syncing.synced(platform, f"run{part}", "main", lambda part=part: rows.where(F.col("part") == part), known, "c_custkey")
+    syncing.synced(platform, "run3", "main", lambda: rows.where("part = 9"), known, "c_custkey")
+    syncing.synced(platform, "run4", "other", lambda: rows.drop("value"), known, "c_custkey")
+    return platform
+
+
+@query(f"""WITH {_ROWS}, n AS (SELECT part, count(*) AS pulled, count(link) AS linked FROM l GROUP BY ALL), m AS (SELECT part, count(target) AS mapped FROM b GROUP BY ALL),
+i AS (SELECT part, count(*) FILTER (old.n = 0 OR old.v <> value OR (target <> '' AND target IS DISTINCT FROM old.t)) AS imported FROM h GROUP BY ALL)
+SELECT 'run' || part AS run, 'main' AS account, CASE WHEN pulled > linked THEN 'completed_with_warnings' ELSE 'completed' END AS status, pulled, mapped, imported, linked, pulled - linked AS unlinked, false AS broke FROM n JOIN m USING (part) JOIN i USING (part)
+UNION ALL SELECT 'run3', 'main', 'empty', 0, 0, 0, 0, 0, false UNION ALL SELECT 'run4', 'other', 'failed', 0, 0, 0, 0, 0, true""")
+def sync_runs(spark, d):
+    return syncing.recent_runs(_synced(spark, d)).withColumn("broke", F.col("error") != "").drop("error")
+
+
+@query(f"""WITH {_ROWS} SELECT item, "window", arg_max(value, part) AS value, arg_max(target, part) FILTER (target <> '') AS target FROM g GROUP BY ALL""")
+def synced_metrics(spark, d):
+    return _synced(spark, d).metrics.current().select("item", "window", "value", "target")
+
+
+@query("""WITH e AS (SELECT user_id AS account, round(value / 0.01::DOUBLE) * 0.01::DOUBLE AS v FROM events WHERE value IS NOT NULL)
+SELECT account, count(*) AS n, round(sum(v), 2) AS total, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.9), 6) AS p90 FROM e GROUP BY ALL""")
+def streamed_baselines(spark, d):
+    from tidemark.streaming.baselines import baselines_table
+
+    events, folder = read(spark, d, "events").select("user_id", "value", "ts"), f"{shared_root(spark)}/baselines-{uuid.uuid4().hex}"
+    part = F.least(F.lit(2), F.floor(F.dayofmonth("ts") / 11))
+    for p in range(3):  # rows come in three times; each call reads the new ones only
+        events.where(part == p).write.parquet(f"{folder}/in/{p}")
+        out = baselines_table(spark.readStream.schema(events.schema).parquet(f"{folder}/in/*"), "user_id", "value", f"{folder}/kept")
+    return out.select("account", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), *[r6(c, c) for c in ("median", "p75", "p90")])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.steps import shared_root
+from tidemark.streaming.baselines import compacted
 
 
 def windowed_totals(events: DataFrame, ts: str, key: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -26,16 +27,16 @@ def totals_table(events: DataFrame, ts: str, key: str, value: str, folder: str,
     """``windowed_totals`` of all that a stream has at hand, kept as a table below ``folder``.
 
     The folder holds the stream's cursor, so a later call reads new rows only. Each batch writes the windows that it
-    changed as Parquet (a batch that is run again overwrites its own); a window counts as its last batch left it.
+    changed as Parquet (a batch that is run again overwrites its own); a window counts as its last batch left it, and
+    many batches become one.
     """
     totals = windowed_totals(events, ts, key, value, **how)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/totals/part-{number}")
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/parts/batch-{number:09d}")
 
     totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start().awaitTermination()
-    kept = events.sparkSession.read.schema(totals.withColumn("batch", F.lit(0).cast("long")).schema).parquet(f"{folder}/totals/part-*")
-    return kept.groupBy("window_start", key).agg(F.max_by(F.struct("n", "total"), "batch").alias("__l")).select("window_start", key, "__l.n", "__l.total")
+    return compacted(events.sparkSession, folder, totals.withColumn("batch", F.lit(0).cast("long")).schema, ["window_start", key])
 
 
 def windowed_totals_once(spark: SparkSession, sf_dir: str) -> DataFrame:
