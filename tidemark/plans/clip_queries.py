@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rewriting import rewritten
 from tidemark.operators import arcs
 from tidemark.plans.queries import query, r6
-from tidemark.plans.tables import TURNS_SQL, turns
+from tidemark.plans.tables import TURNS_SQL, read, turns
 from tidemark.sources.captures import peaks
 
 WORDS = {"context": ["with", "für", "para "], "story": ["quando", " est "], "suspense": [" by ", "entre", "dass"], "music": ["from ", " les ", " von ", " una "], "reaction": [" are ", " des ", " zu ", " los "]}
@@ -111,3 +112,15 @@ SELECT conv_id, item, round(s, 3) AS start, round(e, 3) AS "end" FROM g JOIN (SE
 def chosen_candidates(spark, d):
     ranked = _ranked(spark, d).withColumn("item", F.concat_ws(":", "origin", "anchor"))
     return arcs.chosen_candidates(ranked, "conv_id", "item").select("conv_id", "item", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+#: Phrases none of which overlaps another or begins in what another puts in.
+_PHRASES, _LETTERS = {"tion": "~1", "ment": "~2", "keit": "~3", "ción": "~4", "License": "~5", "555": "~6"}, {"é": "e", "ü": "u", "ß": "s", "z": "Z"}
+_NESTED = "coalesce(text, '')"
+for _wrong, _right in _PHRASES.items():
+    _NESTED = f"replace({_NESTED}, '{_wrong}', '{_right}')"
+
+
+@query(f"""SELECT doc_id, md5(translate({_NESTED}, '{''.join(_LETTERS)}', '{''.join(_LETTERS.values())}')) AS text FROM documents""")
+def rewritten_texts(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(rewritten(F.coalesce("text", F.lit("")), _PHRASES, _LETTERS)).alias("text"))
