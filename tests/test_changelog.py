@@ -20,7 +20,7 @@ def test_random_changes_equal_a_dict(spark, tmp_path):
     log = ChangeLog(spark, f"file://{tmp_path}/t", "id", FIELDS)
     want = {i: (f"n{i}", i / 3, i) for i in range(30)}
     log.start(spark.createDataFrame([(i, *v) for i, v in want.items()], "id int, name string, score double, n long"))
-    for step in range(8):
+    for step in range(6):
         how = rng.choice(["upsert", "update", "insert"])
         rows = {i: (rng.choice([None, "", "x", f"n{i}"]), rng.choice([None, i / 3, 1.5, i / 3 + 1e-9])) for i in rng.sample(range(45), 14)}
         expected = {"created": 0, "updated": 0, "unchanged": 0, "missing": 0, "existing": 0}
@@ -43,13 +43,13 @@ def test_random_changes_equal_a_dict(spark, tmp_path):
         before = log.manifest()
         again = log.merge(df, how)  # a rerun changes nothing
         assert not {"created", "updated"} & set(again) and (log.manifest() == before)
-        if step == 3:
+        if step == 2:
             gone = rng.sample(sorted(want), 5)
             assert log.delete(spark.createDataFrame([(i,) for i in [*gone, 900, 900]], "id int")) == {"deleted": 5, "missing": 1}
             for i in gone:
                 del want[i]
             assert state(log) == want
-        if step == 5:
+        if step == 4:
             events = log.log().count()
             log.compact()
             assert state(log) == want and log.manifest()[1]["batches"] == [] and log.log().count() == events
