@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.texts import token_list
-from tidemark.operators import prototypes
+from tidemark.operators import bank, prototypes
 from tidemark.plans.queries import query, r6
 from tidemark.plans.tables import WORKS_SQL, read, works
 
@@ -97,3 +97,46 @@ def hashed_text_vectors(spark, d):
     """Slots of whole texts; the rows' Han characters would be tokens, too, but the table has none."""
     c = read(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), token_list(F.col("text")).alias("tokens"))
     return prototypes.hashed_vectors(c, "id", "tokens")
+
+
+_TOKEN_SQL = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]')".replace("\\\\", "\\")
+
+
+def _slots(name, source, key, text):
+    return f"""{name}_w AS (SELECT {key} AS id, unnest({_TOKEN_SQL.format(text)}) AS t FROM {source}),
+{name}_s AS (SELECT id, ('0x' || substr(sha256(t), 1, 8))::UBIGINT % 128 AS slot, sum(CASE WHEN ('0x' || substr(sha256(t), 9, 2))::UBIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + least(1.0::DOUBLE, length(t)::DOUBLE / 8))) AS w FROM {name}_w GROUP BY ALL),
+{name}_v AS (SELECT id, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM {name}_s WHERE w <> 0), {name}_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM {name}_v GROUP BY ALL)"""
+
+
+_BANK = f"""{_SCORED}, r AS (SELECT *, left(coalesce(text, ''), 200) AS title, CASE WHEN duration <= 0 THEN 'unknown' WHEN duration < 25 THEN 'short' WHEN duration < 45 THEN 'medium' WHEN duration < 90 THEN 'long' ELSE 'extra_long' END AS bucket FROM scored WHERE account IS NOT NULL),
+bg AS (SELECT account, coalesce(category, '') || '|' || bucket AS name, count(*) AS n, quantile_cont(reward, 0.5) AS median_value, quantile_cont(reward, 0.75) AS p75, quantile_cont(views::DOUBLE, 0.75) AS p75_views, max(reward) AS max_value, max(views) AS max_views, avg(score) AS avg_score FROM r GROUP BY ALL),
+bc AS (SELECT *, least(0.95, 0.18 + least(0.45, n * 0.07) + least(0.25, ln(1 + greatest(0, median_value)) / 48) + least(0.2, greatest(0, avg_score - 45) / 220)) AS confidence FROM bg),
+bk AS (SELECT account, name, keyword, row_number() OVER (PARTITION BY account, name ORDER BY round(w, 9) DESC, keyword) AS place FROM (SELECT account, name, keyword, sum(w) AS w FROM (SELECT account, coalesce(category, '') || '|' || bucket AS name, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: x <> ''))) AS keyword, 1 + score / 100 AS w FROM r) GROUP BY ALL)),
+bw AS (SELECT account, name, list(keyword ORDER BY place) AS keywords FROM bk WHERE place <= 8 GROUP BY ALL),
+be AS (SELECT account, name, string_agg(title, ' ' ORDER BY e) AS titles FROM (SELECT account, coalesce(category, '') || '|' || bucket AS name, title, row_number() OVER (PARTITION BY account, category, bucket ORDER BY score DESC, doc_id) AS e FROM r) WHERE e <= 3 GROUP BY ALL),
+ba AS (SELECT account, quantile_cont(reward, 0.75) AS p FROM r GROUP BY ALL),
+bs AS (SELECT bc.*, coalesce(keywords, []) AS keywords, titles, coalesce(p75 / nullif(p, 0), 0) AS lift, CASE WHEN n < 3 AND max_views >= 100000 THEN 1 WHEN n < 3 THEN 0 WHEN p75_views >= 100000 AND confidence >= 0.75 THEN 4 WHEN p75_views >= 50000 AND confidence >= 0.7 THEN 3 WHEN p75_views >= 10000 THEN 2 ELSE 1 END AS tier FROM bc LEFT JOIN bw USING (account, name) LEFT JOIN be USING (account, name) LEFT JOIN ba USING (account)),
+bank AS (SELECT *, account || '#' || name AS id, array_to_string(keywords, ' ') || ' ' || titles AS said, row_number() OVER (PARTITION BY account ORDER BY n >= 3 DESC, tier DESC, lift DESC, avg_score * confidence DESC, n DESC, max_value DESC, name) AS place FROM bs)""".replace("\\\\", "\\")
+
+
+def _bank(spark, d):
+    from tidemark.functions.times import open_duration_bucket
+
+    rows = _scored(spark, d).withColumns({"bucket": open_duration_bucket(F.col("duration")), "title": F.substring(F.coalesce("text", F.lit("")), 1, 200)})
+    return bank.prototype_bank(rows, "account", ["category", "bucket"], "reward", "views", "score", "title", [F.desc("score"), F.asc("doc_id")])
+
+
+@query(f"""WITH {_BANK} SELECT account, name, n, round(avg_score, 6) AS avg_score, round(confidence, 6) AS confidence, round(lift, 6) AS lift, keywords, place FROM bank""")
+def prototype_bank(spark, d):
+    return _bank(spark, d).select("account", "name", "n", *[r6(c, c) for c in ("avg_score", "confidence", "lift")], "keywords", "place")
+
+
+@query(f"""WITH {_BANK}, ask AS (SELECT item_id, 'src' || item_id % 20 AS account, coalesce(text, '') AS text FROM benchmark), {_slots('b', 'bank', 'id', 'said')}, {_slots('t', 'ask', 'item_id', 'text')},
+dots AS (SELECT t_v.id AS item_id, b_v.id AS proto, sum(t_v.w * b_v.w) AS dot FROM t_v JOIN ask ON ask.item_id = t_v.id JOIN bank ON bank.account = ask.account JOIN b_v ON b_v.id = bank.id AND b_v.slot = t_v.slot GROUP BY ALL),
+fit AS (SELECT ask.item_id, bank.name, greatest(0, least(1, coalesce(dot / (t_n.n * b_n.n), 0))) AS similarity, CASE WHEN text = '' OR len(keywords) = 0 THEN 0 ELSE least(1, len(list_filter(keywords[:10], lambda k: contains(lower(text), lower(k)))) / greatest(3, least(10, len(keywords)))) END AS overlap, avg_score * (0.65::DOUBLE + 0.35::DOUBLE * confidence) AS worth
+  FROM ask JOIN bank USING (account) LEFT JOIN dots ON dots.item_id = ask.item_id AND dots.proto = bank.id LEFT JOIN t_n ON t_n.id = ask.item_id LEFT JOIN b_n ON b_n.id = bank.id)
+SELECT item_id, rank, name, round(similarity, 5) AS similarity, round(overlap, 5) AS overlap, round(greatest(similarity, overlap) * worth, 4) AS fit FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(greatest(similarity, overlap) * worth, 9) DESC, name) AS rank FROM fit) WHERE rank <= 5""")
+def prototype_fits(spark, d):
+    asked = read(spark, d, "benchmark").withColumn("account", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+    fits = bank.prototype_fits(asked, _bank(spark, d), "item_id", "account", "text")
+    return fits.select("item_id", "rank", "name", F.round("similarity", 5).alias("similarity"), F.round("overlap", 5).alias("overlap"), F.round("fit", 4).alias("fit"))
