@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, join_by_key, prefix_for, without_spaces
+from tidemark.llm.common import checkpoint, join_by_key, one_of_each, prefix_for, without_spaces
 
 MEMTABLE_ROWS = 100_000
 #: The filter has 16 bits for each repeated digest, up to this bound (32 MB).
@@ -163,7 +163,11 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay: one of each group of equal texts."""
+    """The rows of ``docs``, with all their columns, that stay: one of each group of equal texts.
+
+    Where several rows have the identifier and the length of the one that stays,
+    it is that whose whole content's hash comes first, whatever their order.
+    """
     index = DedupIndex(docs, doc_id, text)
     digest, own, points, d, i, n = (prefix_for(docs) + c for c in ("digest", "id", "points", "d", "i", "n"))
     rows = docs.withColumn(digest, index._digest())
@@ -172,4 +176,4 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     size = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
     some = rows.where(index.maybe(F.col(digest))).withColumn(own, F.col(doc_id).cast("long")).withColumn(points, size)
     kept = some.join(keep, (some[digest] == keep[d]) & some[own].eqNullSafe(keep[i]) & (some[points] == keep[n]), "left_semi")
-    return alone.unionByName(kept.dropDuplicates([digest, own]).drop(digest, own, points))
+    return alone.unionByName(one_of_each(kept, [digest, own], docs.columns))

@@ -6,9 +6,10 @@ hash-seeded Bernoulli copy with probability ``rate - floor(rate)``, where
 ``rate`` is its source's target over its source's size.
 
 Defined results: a null text has size 0; null is a source of its own and comes
-last; the n-th of the rows that repeat an identifier and a text draws its own
-number, so that many of them come near the target, too, and which of the equal
-rows it is makes no difference to the result, so reruns agree; an empty table
+last; the n-th of the rows that repeat an identifier, a text and a source draws
+its own number, so that many of them come near the target, too; they are
+numbered by their whole content, so which rows are taken does not depend on the
+order in which they are read and reruns agree; an empty table
 gives no rows; a source without words has target 0 and its documents are not
 taken.  Extra columns of any name are carried by ``mixed_documents`` and
 ignored by ``mixing_plan``.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, WORD, checkpoint, join_by_key, prefix_for
+from tidemark.llm.common import BROADCAST_ROWS, WORD, checkpoint, join_by_key, prefix_for, row_names
 
 
 def word_count(col):
@@ -71,34 +72,35 @@ def source_targets(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, text: str =
     return per.select("source", "source_size", "rows", "weight", F.when(capped, most.cast("double")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def _numbered_repeats(docs: DataFrame, p: str, doc_id: str, text: str) -> DataFrame:
-    """Adds ``{p}nth``: which of the rows with its identifier and text a row is; 1 for nearly all, which are not shuffled for it.
+def _numbered_repeats(docs: DataFrame, p: str, doc_id: str, text: str, source: str) -> DataFrame:
+    """Adds ``{p}nth``: which of the rows with its identifier, text and source a row is; 1 for nearly all, which are not shuffled for it.
 
-    Rows that repeat are numbered within the partition that they were read in,
-    after the rows of the partitions before it; no task holds a whole group.
+    Rows that repeat are numbered by the hash of their whole content, so only
+    rows that are alike in every column may change places.  They are sorted by
+    ranges, rows that are alike by the partition that they were read in, so no
+    task holds a whole group.
     """
-    body, k1, k2, pid, n, nth, before = F.coalesce(F.col(text), F.lit("")), *(f"{p}{c}" for c in ("k1", "k2", "pid", "n", "nth", "before"))
-    name = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    keyed = docs.withColumn(k1, F.xxhash64(name, body)).withColumn(k2, F.xxhash64(F.lit(1), name, body))
+    k1, k2, name, part, n, nth, low, row = (f"{p}{c}" for c in ("k1", "k2", "name", "part", "n", "nth", "low", "row"))
+    key = [F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(source).cast("string"), F.lit("")), F.col(source).isNull()]
+    keyed = docs.withColumn(k1, F.xxhash64(*key)).withColumn(k2, F.xxhash64(F.lit(1), *key))
     again = checkpoint(keyed.groupBy(k1, k2).agg(F.count("*").alias(n)).where(F.col(n) > 1))
     total = again.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
     if not total:
         return docs.withColumn(nth, F.lit(1))
-    found = join_by_key(keyed.withColumn(pid, F.spark_partition_id()), again, [k1, k2], n, total, F.col(pid))
+    found = join_by_key(keyed.withColumn(part, F.spark_partition_id()), again, [k1, k2], n, total, F.col(part))
     once = found.where(F.col(n).isNull()).select(*docs.columns, F.lit(1).cast("long").alias(nth))
-    more = checkpoint(found.where(F.col(n).isNotNull()))
-    counts = more.groupBy(k1, k2, pid).agg(F.count("*").alias(n))
-    start = F.coalesce(F.sum(n).over(Window.partitionBy(k1, k2).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(k1, k2, pid, start.alias(before))
-    own = more.withColumn(nth, F.row_number().over(Window.partitionBy(k1, k2, pid).orderBy(pid)))
-    own = own.join(starts, [k1, k2, pid]).withColumn(nth, F.col(nth) + F.col(before))
-    return once.unionByName(own.select(*docs.columns, F.col(nth).cast("long").alias(nth)))
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    more = found.where(F.col(n).isNotNull()).select(k1, k2, row_names(docs.columns)[0].alias(name), part, packed.alias(row))
+    more = _ordered_numbers(more, [F.col(c).asc() for c in (k1, k2, name, part)], nth)
+    starts = more.groupBy(k1, k2).agg(F.min(nth).alias(low), F.count("*").alias(n))
+    own = join_by_key(more, starts, [k1, k2], n, total, F.col(part)).withColumn(nth, F.col(nth) - F.col(low) + 1)
+    return once.unionByName(own.select(*[F.col(row)[c].alias(c) for c in docs.columns], F.col(nth).cast("long").alias(nth)))
 
 
 def _with_copies(docs: DataFrame, targets: DataFrame, p: str, seed: str, doc_id: str, text: str, source: str) -> DataFrame:
     """Adds ``{p}size``, ``{p}target`` and ``{p}copies``."""
     src, size, target, rows_, rate, copies, void = (f"{p}{c}" for c in ("src", "size", "target", "rows", "rate", "copies", "void"))
-    rows = _numbered_repeats(docs, p, doc_id, text)
+    rows = _numbered_repeats(docs, p, doc_id, text, source)
     rows = rows.withColumn(src, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(void, F.col(source).isNull())
     t = targets.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias(src), F.col("source").isNull().alias(void), F.col("source_size").alias(size), F.col("target").alias(target), F.col("rows").alias(rows_))
     if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

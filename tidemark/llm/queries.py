@@ -87,7 +87,7 @@ _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 SQL = {
     "op1_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')), nullif(nth, 1)::VARCHAR)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) AS nth FROM documents)),
+  md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')), nullif(nth, 1)::VARCHAR)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) AS nth FROM documents)),
 p AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM d GROUP BY source),
 q AS (SELECT *, 3 * source_size AS most, sum(source_size) OVER ()::BIGINT
     - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS remain,

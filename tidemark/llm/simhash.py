@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, drawn_rows, join_by_key, prefix_for, slices, splittable_join
+from tidemark.llm.common import checkpoint, drawn_rows, join_by_key, one_of_each, prefix_for, slices, splittable_join
 
 #: Fingerprints for each shard from which a tree is fitted, and the most shards of one tree: the sample is at most 262,144 numbers on the driver.
 SAMPLE_PER_SHARD = 64
@@ -298,7 +298,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed:
 
     It is the row with the smallest identifier, a null one last, and of several
     texts with that identifier the one whose hash comes first; of rows that
-    repeat it one stays.  Rows are told apart by identifier and text, so a text
+    repeat it the one whose whole content's hash comes first.  Rows are told apart by identifier and text, so a text
     that nothing resembles stays whatever its identifier.
     """
     p = prefix_for(docs)
@@ -316,4 +316,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed:
     named = [f"{p}id", f"{p}void", f"{p}h1", f"{p}h2"]
     rows = rows.join(marks, named, "left")
     once, twice = rows.where(F.col(f"{p}stays").isNull()), rows.where(F.col(f"{p}stays"))
-    return once.select(*docs.columns).unionByName(twice.dropDuplicates(named).select(*docs.columns))
+    return once.select(*docs.columns).unionByName(one_of_each(twice, named, docs.columns))
