@@ -645,11 +645,18 @@ def tuning_grid(spark, d):
     return rep.select("strategy", r6(F.col("lift") + F.col("high_hit") * 0.55 + F.col("low_avoidance") * 0.15 + bonus, "objective"))
 
 
+def _ranked_works(spark, d):
+    """Works with their reward's place in its category; texts take no part in the ranking."""
+    w = works(spark, d)
+    places = w.select("doc_id", "category", "reward").select("doc_id", (F.percent_rank().over(_by_category()) * 100).alias("reward"))
+    return spread(w.drop("reward").join(places, "doc_id"))
+
+
 @query()
 def strategy_backtest(spark, d):
     from tidemark.plans import backtest
 
-    w = spread(works(spark, d)).withColumn("reward", F.percent_rank().over(_by_category()) * 100)
+    w = _ranked_works(spark, d)
     rep = backtest.strategy_report(backtest.strategy_scores(w), "doc_id", "reward", backtest.STRATEGIES)
     return rep.select("strategy", "n", *[r6(c, c) for c in ("ndcg", "hit_rate", "lift", "high_hit", "low_avoidance", "mae")])
 
