@@ -638,11 +638,8 @@ _GRID = [{"current_rules": 1.0}, {"semantic_baseline": 1.0}, {"current_rules": 0
 def tuning_grid(spark, d):
     from tidemark.plans import backtest
 
-    rows = _baseline_scored(spark, d)
-    named = {f"w{i}": F.round(F.col("current_rules") * F.lit(g.get("current_rules", 0.0)) + F.col("semantic_baseline") * F.lit(g.get("semantic_baseline", 0.0)), 9) for i, g in enumerate(_GRID)}
-    rep = backtest.strategy_report(rows.withColumns(named), "doc_id", "reward", list(named))
-    bonus = F.when((F.col("lift") >= 1.7) & (F.col("high_hit") >= 0.7), 0.3).otherwise(0.0)
-    return rep.select("strategy", r6(F.col("lift") + F.col("high_hit") * 0.55 + F.col("low_avoidance") * 0.15 + bonus, "objective"))
+    found = backtest.grid_search(_baseline_scored(spark, d), _GRID, ["current_rules", "semantic_baseline"], "doc_id", "reward")
+    return found.select("strategy", r6("objective", "objective"))
 
 
 def _ranked_works(spark, d):
