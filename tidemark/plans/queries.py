@@ -649,15 +649,6 @@ def _ranked_works(spark, d):
     return spread(w.drop("reward").join(places, "doc_id"))
 
 
-@query()
-def strategy_backtest(spark, d):
-    from tidemark.plans import backtest
-
-    w = _ranked_works(spark, d)
-    rep = backtest.strategy_report(backtest.strategy_scores(w), "doc_id", "reward", backtest.STRATEGIES)
-    return rep.select("strategy", "n", *[r6(c, c) for c in ("ndcg", "hit_rate", "lift", "high_hit", "low_avoidance", "mae")])
-
-
 def _by_category():
     from pyspark.sql import Window
 
