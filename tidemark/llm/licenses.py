@@ -5,12 +5,15 @@ letters, digits and line ends becomes a space, and every run of consecutive
 words, over line ends or within a line, is compared with the templates over
 their sets of word bigrams.
 
-Not every run is tried, but no better one is lost: a bigram at either end of a
-run that the template does not have, or that the run has twice, may go without
-loss.  So runs start at one of the template's bigrams and end where another of
-them comes for the first time after the start; the k-th such end has k of them
-in common.  A run is counted out only if ``2 k / (size + n)`` from a lower bound
-of its size can't win.
+Not every run is tried, but no better one is lost.  The shortest of the best runs
+starts at one of the template's bigrams that it holds once, so it ends before
+the next place of that bigram; and the word pair before it is not one of the
+template's, or is in the run already, as with it the run would score more.  The
+same holds at its end.  So the runs of a start lie between two places that are
+known from the places of the same bigram before and after each place, and those
+of all starts of one bigram do not overlap: the work is linear in the text, also
+where it repeats a licence.  A start goes, too, if its shortest possible run is too large
+to reach the threshold, or what earlier runs scored.
 
 A set that reaches the threshold lacks so few of a template's bigrams that it
 holds one of any choice of one more; texts with none of the templates' choices
@@ -111,42 +114,79 @@ def _let(value, use):
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _best_run(grams, repeats, hits, template, threshold: float):
-    """The greatest Dice coefficient of a run of ``grams`` with the template (n, least, most, own); null below the threshold.
+def _placed(grams, every: list[str], sets: list[tuple[str, list[str]]]):
+    """The bigrams in their order, each with the places of the same bigram before and after it and the templates that hold it.
 
-    ``hits`` are the places (i, g) of the templates' bigrams; ``repeats`` is by how much a run's length can exceed its size.
+    Without such a place ``before`` is -1 and ``after`` the number of bigrams.
+    """
+
+    def linked(same):
+        def place(x, q):
+            beside = lambda other: F.when(F.get(same, other)["g"] == x["g"], F.get(same, other)["i"])
+            holders = F.filter(F.array(*[F.when(x["g"].isin(own), F.lit(t)) for t, (_, own) in enumerate(sets)]), lambda t: t.isNotNull())
+            of = F.when(x["g"].isin(every), holders).otherwise(F.array().cast("array<int>"))
+            return F.struct(x["i"].alias("i"), F.coalesce(beside(q - 1), F.lit(-1)).alias("before"), F.coalesce(beside(q + 1), F.size(same)).alias("after"), of.alias("of"))
+
+        return F.sort_array(F.transform(same, place))
+
+    return _let(F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))), linked)
+
+
+def _best_run(grams, placed, hits, template):
+    """The greatest Dice coefficient of a run of ``grams`` with the template (t, n, least, most, own) at the threshold or above; null without one.
+
+    ``hits`` are those of ``placed`` that any template holds.
     """
     n, least, most = template["n"], template["least"], template["most"]
+    held = lambda place: F.array_contains(place["of"], template["t"])
+    run = lambda i, length: F.slice(grams, i + 1, length)
+    size = lambda i, length: F.size(F.array_distinct(run(i, length)))
+
+    def starts(places):
+        """Starts i, with the first (lo) and beyond the last (hi) place that a run may end at, and the size of the run up to lo."""
+
+        def start(h, q):
+            left = F.get(placed, h["i"] - 1)
+            turned = F.coalesce(held(left), F.lit(False))
+            enough = F.coalesce(F.get(places, q + least - 1)["i"], F.size(grams))
+            return F.struct(h["i"].alias("i"), F.greatest(F.when(turned, left["after"]).otherwise(h["i"]), enough).alias("lo"), h["after"].alias("hi"), turned.alias("turned"))
 
-    def ends(places, start):
-        """Runs (i, length, shared) from the place ``start`` on."""
-        near = F.filter(F.slice(places, start + 1, F.size(places)), lambda h: h["i"] - places[start]["i"] < most + repeats)
+        def sized(s):
+            length = s["lo"] - s["i"] + 1
+            first = size(s["i"], F.least(length, 2 * most))
+            return s.withField("size", _let(first, lambda d: F.when((d <= most) & (length > 2 * most), size(s["i"], length)).otherwise(d)))
 
-        def of(near):
-            names = F.transform(near, lambda h: h["g"])
-            first = F.array_distinct(names)
-            last = lambda k: near[(F.array_position(names, first[k - 1]) - 1).cast("int")]["i"]
-            counts = F.when(F.size(first) >= least, F.sequence(least, F.size(first))).otherwise(F.array().cast("array<int>"))
-            return F.transform(counts, lambda k: F.struct(near[0]["i"].alias("i"), (last(k) - near[0]["i"] + 1).alias("length"), k.alias("shared")))
+        open_ = F.filter(F.transform(places, start), lambda s: s["lo"] < s["hi"])
+        return F.filter(F.transform(open_, sized), lambda s: s["size"] <= most)
 
-        return F.flatten(F.transform(F.array(near), of))
+    def score(s):
+        """The best of the runs that start at s."""
+        i, room = s["i"], s["hi"] - s["i"]
+        # doubled until the run is too large; negative once it is settled
+        wider = lambda x, _: F.when(x < 0, x).when(x >= room, -room).when(size(i, x) > most, -x).otherwise(2 * x)
+        reach = -F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.greatest(s["lo"] - i + 1, 2 * most), wider)
 
-    def exact(run):
-        return 2 * run["shared"] / (F.size(F.array_distinct(F.slice(grams, run["i"] + 1, run["length"]))) + n)
+        def may_end(e):
+            right = F.get(placed, e["i"] + 1)
+            return held(e) & (e["before"] < i) & F.coalesce(~held(right) | (right["before"] >= i), F.lit(True))
 
-    def judged(runs):
-        """The run that may score most is counted first, then those that may score more than it did."""
-        first = exact(F.element_at(F.array_sort(runs, lambda a, b: F.when(a["bound"] > b["bound"], -1).when(a["bound"] < b["bound"], 1).otherwise(0)), 1))
-        return _let(first, lambda f: F.greatest(f, F.array_max(F.transform(F.filter(runs, lambda r: r["bound"] > f), exact))))
+        ends = F.filter(F.slice(placed, s["lo"] + 1, reach - (s["lo"] - i)), may_end)
+        dice = lambda words: 2 * F.size(F.array_intersect(words, template["own"])) / (F.size(F.array_distinct(words)) + n)
+        return F.array_max(F.transform(ends, lambda e: _let(run(i, e["i"] - i + 1), dice)))
 
-    def with_bounds(places):
-        runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - 1), lambda a: ends(places, a)))
-        bounded = F.transform(runs, lambda r: r.withField("bound", 2 * r["shared"] / (F.greatest(r["shared"], r["length"] - repeats) + n)))
-        return _let(F.filter(bounded, lambda r: r["bound"] >= threshold), lambda r: F.when(F.size(r) > 0, judged(r)))
+    def judged(starts):
+        """Runs with nothing of the template before them first, then those whose bound is above what these scored."""
+        plain = F.array_max(F.transform(F.filter(starts, lambda s: ~s["turned"]), score))
+        bound = lambda s: 2 * n / (F.greatest(s["size"], n) + n)
+        rest = lambda f: F.filter(starts, lambda s: s["turned"] & (bound(s) > F.coalesce(f, F.lit(0.0))))
+        return _let(plain, lambda f: F.greatest(f, F.array_max(F.transform(rest(f), score))))
 
-    mine = F.filter(hits, lambda h: F.array_contains(template["own"], h["g"]))
-    found = _let(mine, lambda places: F.when(F.size(F.array_distinct(F.transform(places, lambda h: h["g"]))) >= least, with_bounds(places)))
-    return _let(found, lambda x: F.when(x >= threshold, x))
+    def among(places):
+        different = F.size(F.filter(places, lambda h: h["before"] < 0))
+        return F.when(different >= least, _let(starts(places), judged))
+
+    found = _let(F.filter(hits, held), among)
+    return _let(found, lambda x: F.when(x >= template["threshold"], x))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +195,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     sets = [(name, grams) for name, body in sorted(given) if (grams := _template_bigrams(body))]
     every = sorted({g for _, grams in sets for g in grams})
     signal, names = _signal(sets, threshold), F.array(*[F.lit(name) for name, _ in sets])
-    known = F.array(*[F.struct(F.lit(len(own)).alias("n"), F.lit(_least(len(own), threshold)).alias("least"), F.lit(math.floor(len(own) * (2 - threshold) / threshold + 1e-9)).alias("most"), F.split(F.lit("\n".join(own)), "\n").alias("own")) for _, own in sets])
+    known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(threshold)).alias("threshold"), F.lit(len(own)).alias("n"), F.lit(_least(len(own), threshold)).alias("least"), F.lit(math.floor(len(own) * (2 - threshold) / threshold + 1e-9)).alias("most"), F.split(F.lit("\n".join(own)), "\n").alias("own")) for t, (_, own) in enumerate(sets)])
 
     def top(scores):
         most = F.array_max(scores)
@@ -166,13 +206,11 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         """The best (score, -place, licence) in a text; null where none reaches the threshold."""
 
         def among(grams):
-            hits = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda h: h["g"].isin(every))
-            repeats = F.size(grams) - F.size(F.array_distinct(grams))
-
-            def of(part):
-                return _let(F.transform(known, lambda t: _best_run(grams, part["repeats"], part["hits"], t, threshold)), top)
+            def of(placed):
+                hits = F.filter(placed, lambda p: F.size(p["of"]) > 0)
+                return _let(hits, lambda h: _let(F.transform(known, lambda t: _best_run(grams, placed, h, t)), top))
 
-            return _let(F.struct(repeats.alias("repeats"), hits.alias("hits")), of)
+            return _let(_placed(grams, every, sets), of)
 
         return _let(word_bigrams(F.split(F.trim(F.regexp_replace(part, r"[ \n]+", " ")), " ")), among)
 
