@@ -12,8 +12,8 @@ template's, or is in the run already, as with it the run would score more.  The
 same holds at its end.  So the runs of a start lie between two places that are
 known from the places of the same bigram before and after each place, and those
 of all starts of one bigram do not overlap: the work is linear in the text, also
-where it repeats a licence.  A start goes, too, if its shortest possible run is too large
-to reach the threshold, or what earlier runs scored.
+where it repeats a licence.  A start goes, too, if its shortest possible run is
+too large to reach the threshold, or to beat what was found before.
 
 A set that reaches the threshold lacks so few of a template's bigrams that it
 holds one of any choice of one more; texts with none of the templates' choices
@@ -132,8 +132,8 @@ def _placed(grams, every: list[str], sets: list[tuple[str, list[str]]]):
     return _let(F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))), linked)
 
 
-def _best_run(grams, placed, hits, template):
-    """The greatest Dice coefficient of a run of ``grams`` with the template (t, n, least, most, own) at the threshold or above; null without one.
+def _best_run(grams, placed, hits, template, so_far):
+    """The greatest Dice coefficient of a run of ``grams`` with the template (t, n, least, most, own); null if none is above ``so_far``.
 
     ``hits`` are those of ``placed`` that any template holds.
     """
@@ -143,7 +143,7 @@ def _best_run(grams, placed, hits, template):
     size = lambda i, length: F.size(F.array_distinct(run(i, length)))
 
     def starts(places):
-        """Starts i, with the first (lo) and beyond the last (hi) place that a run may end at, and the size of the run up to lo."""
+        """Starts i, with the first (lo) and beyond the last (hi) place that a run may end at."""
 
         def start(h, q):
             left = F.get(placed, h["i"] - 1)
@@ -151,13 +151,13 @@ def _best_run(grams, placed, hits, template):
             enough = F.coalesce(F.get(places, q + least - 1)["i"], F.size(grams))
             return F.struct(h["i"].alias("i"), F.greatest(F.when(turned, left["after"]).otherwise(h["i"]), enough).alias("lo"), h["after"].alias("hi"), turned.alias("turned"))
 
-        def sized(s):
-            length = s["lo"] - s["i"] + 1
-            first = size(s["i"], F.least(length, 2 * most))
-            return s.withField("size", _let(first, lambda d: F.when((d <= most) & (length > 2 * most), size(s["i"], length)).otherwise(d)))
+        return F.filter(F.transform(places, start), lambda s: s["lo"] < s["hi"])
 
-        open_ = F.filter(F.transform(places, start), lambda s: s["lo"] < s["hi"])
-        return F.filter(F.transform(open_, sized), lambda s: s["size"] <= most)
+    def sized(s):
+        """With the size of the run up to lo."""
+        length = s["lo"] - s["i"] + 1
+        first = size(s["i"], F.least(length, 2 * most))
+        return s.withField("size", _let(first, lambda d: F.when((d <= most) & (length > 2 * most), size(s["i"], length)).otherwise(d)))
 
     def score(s):
         """The best of the runs that start at s."""
@@ -174,19 +174,22 @@ def _best_run(grams, placed, hits, template):
         dice = lambda words: 2 * F.size(F.array_intersect(words, template["own"])) / (F.size(F.array_distinct(words)) + n)
         return F.array_max(F.transform(ends, lambda e: _let(run(i, e["i"] - i + 1), dice)))
 
-    def judged(starts):
-        """Runs with nothing of the template before them first, then those whose bound is above what these scored."""
-        plain = F.array_max(F.transform(F.filter(starts, lambda s: ~s["turned"]), score))
+    def above(starts, floor):
+        """The best of the runs from the starts whose bounds are above ``floor``."""
         bound = lambda s: 2 * n / (F.greatest(s["size"], n) + n)
-        rest = lambda f: F.filter(starts, lambda s: s["turned"] & (bound(s) > F.coalesce(f, F.lit(0.0))))
-        return _let(plain, lambda f: F.greatest(f, F.array_max(F.transform(rest(f), score))))
+        return F.array_max(F.transform(F.filter(F.transform(starts, sized), lambda s: (s["size"] <= most) & (bound(s) > floor)), score))
+
+    def judged(starts):
+        """Runs with nothing of the template before them first, then the others, unless those are whole."""
+        plain = F.coalesce(above(F.filter(starts, lambda s: ~s["turned"]), so_far), F.lit(0.0))
+        return _let(F.greatest(plain, so_far), lambda f: F.when(f < 1, F.greatest(f, above(F.filter(starts, lambda s: s["turned"]), f))).otherwise(f))
 
     def among(places):
         different = F.size(F.filter(places, lambda h: h["before"] < 0))
         return F.when(different >= least, _let(starts(places), judged))
 
-    found = _let(F.filter(hits, held), among)
-    return _let(found, lambda x: F.when(x >= template["threshold"], x))
+    found = F.when(so_far < 1, _let(F.filter(hits, held), among))
+    return _let(found, lambda x: F.when(x > so_far, x))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,20 +198,20 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     sets = [(name, grams) for name, body in sorted(given) if (grams := _template_bigrams(body))]
     every = sorted({g for _, grams in sets for g in grams})
     signal, names = _signal(sets, threshold), F.array(*[F.lit(name) for name, _ in sets])
-    known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(threshold)).alias("threshold"), F.lit(len(own)).alias("n"), F.lit(_least(len(own), threshold)).alias("least"), F.lit(math.floor(len(own) * (2 - threshold) / threshold + 1e-9)).alias("most"), F.split(F.lit("\n".join(own)), "\n").alias("own")) for t, (_, own) in enumerate(sets)])
-
-    def top(scores):
-        most = F.array_max(scores)
-        at = F.array_position(scores, most).cast("int")
-        return F.when(most.isNotNull(), F.struct(most.alias("score"), (-at).alias("rank"), names[at - 1].alias("license")))
+    known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(own)).alias("n"), F.lit(_least(len(own), threshold)).alias("least"), F.lit(math.floor(len(own) * (2 - threshold) / threshold + 1e-9)).alias("most"), F.split(F.lit("\n".join(own)), "\n").alias("own")) for t, (_, own) in enumerate(sets)])
 
     def best(part):
         """The best (score, -place, licence) in a text; null where none reaches the threshold."""
 
         def among(grams):
             def of(placed):
-                hits = F.filter(placed, lambda p: F.size(p["of"]) > 0)
-                return _let(hits, lambda h: _let(F.transform(known, lambda t: _best_run(grams, placed, h, t)), top))
+                def better(b, t, hits):
+                    return _let(_best_run(grams, placed, hits, t, b["score"]), lambda x: F.when(x >= threshold, F.struct(x.alias("score"), t["t"].alias("t"))).otherwise(b))
+
+                # the templates in the order of their names, each held against the best of those before it
+                none = F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("t"))
+                found = _let(F.filter(placed, lambda p: F.size(p["of"]) > 0), lambda hits: F.aggregate(known, none, lambda b, t: better(b, t, hits)))
+                return _let(found, lambda b: F.when(b["t"] >= 0, F.struct(b["score"].alias("score"), (-b["t"]).alias("rank"), names[b["t"]].alias("license"))))
 
             return _let(_placed(grams, every, sets), of)
 
