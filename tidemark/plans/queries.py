@@ -718,4 +718,4 @@ def energy_peaks(spark, d):
     return peaks(e, "user_id").select("user_id", "event_id", r6("energy", "energy"), r6("delta", "delta"), "rank")
 
 
-from tidemark.plans import clip_queries, correction_queries, history_queries, overlay_queries, payload_queries, prototype_queries, quality_queries, ranker_queries, structure_queries  # noqa: E402, F401  register their queries
+from tidemark.plans import clip_queries, correction_queries, history_queries, overlay_queries, payload_queries, prototype_queries, quality_queries, ranker_queries, signal_queries, structure_queries  # noqa: E402, F401  register their queries
