@@ -143,10 +143,9 @@ def compared_strategies(df: DataFrame, strategies: dict[str, Column], label: str
     have in common is one row of sums.
     """
     worth = _zero(F.col(reward))
-    scored = F.array(*[F.struct(F.lit(name).alias("strategy"), _zero(score).alias("score")) for name, score in strategies.items()])
-    rows = df.select(F.col(key).alias("__key"), F.col(label).alias("__label"), worth.alias("__reward"), scored.alias("__s"))
+    rows = df.select(F.col(key).alias("__key"), F.col(label).alias("__label"), worth.alias("__reward"), *[_zero(score).alias(name) for name, score in strategies.items()])
     total = rows.agg(F.count("*").alias("n"), F.avg("__reward").alias("__all"), *[F.count_if(F.col("__label") == x).alias(f"__{x}") for x in ("high", "low")])
-    each = rows.select("__key", "__label", "__reward", F.explode("__s").alias("__s")).select("__key", "__label", "__reward", "__s.*")
+    each = rows.unpivot(["__key", "__label", "__reward"], list(strategies), "strategy", "score")
     top = each.withColumn("__r", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score"), F.asc("__key")))).where(F.col("__r") <= k)
     top = top.groupBy("strategy").agg(F.avg("__reward").alias("top_reward"), *[F.count_if(F.col("__label") == x).alias(f"__top_{x}") for x in ("high", "low")])
     both = top.crossJoin(F.broadcast(total))  # a row for each strategy and one row
