@@ -658,23 +658,31 @@ def _by_category():
 # ------------------------------------------------------------------ scores
 
 
-_PARTS_SQL = """p AS (SELECT l_orderkey, l_linenumber, (l_quantity * 2)::DOUBLE AS q, (l_discount * 1000)::DOUBLE AS dc, (l_tax * 1000)::DOUBLE AS tx, (l_suppkey % 101)::DOUBLE AS sp, (l_partkey % 97)::DOUBLE AS pk FROM lineitem)"""
+_PARTS_SQL = """p AS (SELECT l_orderkey, l_linenumber, l_returnflag, (l_quantity * 2)::DOUBLE AS q, (l_discount * 1000)::DOUBLE AS dc, (l_tax * 1000)::DOUBLE AS tx, (l_suppkey % 101)::DOUBLE AS sp, (l_partkey % 97)::DOUBLE AS pk FROM lineitem)"""
 _COLD = "greatest(0, least(100, 0.28 * q + 0.24 * dc + 0.14 * tx + 0.14 * sp + 0.12 * pk + 0.08 * q - 0.08 * dc))"
 _POOL = "greatest(0, least(100, 0.36 * pk + 0.21 * q + 0.13 * dc + 0.11 * tx + 0.10 * sp + 0.09 * (CASE WHEN q BETWEEN 22 AND 48 THEN 92 WHEN q BETWEEN 18 AND 65 THEN 78 WHEN q BETWEEN 12 AND 80 THEN 62 ELSE 38 END) - 0.10 * dc))"
 
 
-@query(f"""WITH {_PARTS_SQL}, s AS (SELECT *, {_COLD}::DOUBLE AS cold, {_POOL}::DOUBLE AS pool FROM p),
+_SIMULATED_SQL = f"""{_PARTS_SQL}, s AS (SELECT *, {_COLD}::DOUBLE AS cold, {_POOL}::DOUBLE AS pool FROM p),
 t AS (SELECT *, greatest(0, least(100, 0.23 * pool + 0.22 * sp + 0.17 * tx + 0.13 * dc + 0.10 * sp + 0.10 * q + 0.05 * tx - 0.09 * dc))::DOUBLE AS expa, greatest(0, least(100, 0.22 * dc + 0.20 * tx + 0.17 * tx + 0.15 * q + 0.12 * sp + 0.10 * q + 0.04 * dc - 0.07 * dc))::DOUBLE AS tail FROM s),
-u AS (SELECT *, greatest(0, least(100, 0.18 * cold + 0.26 * pool + 0.20 * expa + 0.14 * tail + 0.16 * (100 - tx) + 0.06 * pk))::DOUBLE AS score FROM t)
-SELECT l_orderkey, l_linenumber, round(cold, 6) AS cold_start, round(pool, 6) AS first_pool, round(expa, 6) AS expansion, round(tail, 6) AS long_tail, round(score, 6) AS simulated_score FROM u""")
-def simulated_stages(spark, d):
+u AS (SELECT *, greatest(0, least(100, 0.18 * cold + 0.26 * pool + 0.20 * expa + 0.14 * tail + 0.16 * (100 - tx) + 0.06 * pk))::DOUBLE AS score FROM t)"""
+
+
+def simulated(spark, d):
+    """The order lines and the columns of their simulation."""
     from tidemark.functions import scores
 
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("q"), (F.col("l_discount") * 1000).alias("dc"), (F.col("l_tax") * 1000).alias("tx"), (F.col("l_suppkey") % 101).cast("double").alias("sp"), (F.col("l_partkey") % 97).cast("double").alias("pk"))
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_quantity") * 2).alias("q"), (F.col("l_discount") * 1000).alias("dc"), (F.col("l_tax") * 1000).alias("tx"), (F.col("l_suppkey") % 101).cast("double").alias("sp"), (F.col("l_partkey") % 97).cast("double").alias("pk"))
     q, dc, tx, sp, pk = (F.col(c) for c in ("q", "dc", "tx", "sp", "pk"))
     parts = {"final": q, "topic_clarity": dc, "song_recognition": tx, "novelty_arrangement": sp, "audience_breadth": pk, "history_prior": q, "low_originality": dc, "short_video_hook": pk, "musical_moment": q, "chorus_climax": dc, "narrative_context": tx, "production_quality": sp,
              "duration": scores.duration_score(q), "comment_trigger": sp, "audience_reaction": tx, "lyric_resonance": dc, "risk": 100 - tx, "diversity": pk}
     s = scores.simulation(parts)
+    return li, s
+
+
+@query(f"""WITH {_SIMULATED_SQL} SELECT l_orderkey, l_linenumber, round(cold, 6) AS cold_start, round(pool, 6) AS first_pool, round(expa, 6) AS expansion, round(tail, 6) AS long_tail, round(score, 6) AS simulated_score FROM u""")
+def simulated_stages(spark, d):
+    li, s = simulated(spark, d)
     return li.select("l_orderkey", "l_linenumber", *[r6(s[c], c) for c in ("cold_start", "first_pool", "expansion", "long_tail", "simulated_score")])
 
 
@@ -718,4 +726,4 @@ def energy_peaks(spark, d):
     return peaks(e, "user_id").select("user_id", "event_id", r6("energy", "energy"), r6("delta", "delta"), "rank")
 
 
-from tidemark.plans import clip_queries, correction_queries, history_queries, overlay_queries, payload_queries, prototype_queries, quality_queries, ranker_queries, signal_queries, structure_queries  # noqa: E402, F401  register their queries
+from tidemark.plans import clip_queries, correction_queries, history_queries, overlay_queries, payload_queries, prototype_queries, quality_queries, ranker_queries, signal_queries, structure_queries, summary_queries  # noqa: E402, F401  register their queries
