@@ -1,4 +1,4 @@
-"""Replacement of many phrases in one pass over a text: simplified script, corrected hot words."""
+"""Replacement of many phrases in one pass over a text, or of a few in turn: simplified script, corrected hot words."""
 
 from __future__ import annotations
 
@@ -57,6 +57,16 @@ def rewritten(text: Column, phrases: dict[str, str], letters: dict[str, str] | N
     return run(text) if phrases or letters else text
 
 
+def rewritten_in_turn(text: Column, phrases: dict[str, str], letters: dict[str, str] | None = None) -> Column:
+    """The text with each phrase replaced wherever it stands before the next one is, then the letters (one for one); null stays null.
+
+    Where phrases overlap the one that is given first wins, and what was put in is read again.
+    """
+    for wrong, right in phrases.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return F.translate(text, "".join(letters), "".join(letters.values())) if letters else text
+
+
 #: Fixed value: marks before which a transcript has no space.
 _TIGHT = "，。！？、,.!?"
 
