@@ -28,3 +28,10 @@ def test_rewritten_texts_where_phrases_overlap(spark, tmp_path):
     said = ["mention", "keition mentment", "5555555", "éüßz tionment", "", None]
     docs = pa.table({"doc_id": pa.array(range(len(said)), pa.int64()), "text": pa.array(said, pa.string())})
     assert len(same_as_sql(spark, tmp_path, "rewritten_texts", documents=docs)) == len(said)
+
+
+def test_clip_transcript_of_short_and_silent_conversations(spark, tmp_path):
+    turns = [(1, 0, "x" * 100), (2, 0, "a"), (2, 1, "y" * 60), (3, 0, None), (3, 1, None), (4, 0, "x" * 70), (4, 1, "b"), (5, 0, "w" * 1500), (5, 1, None), (5, 2, "z" * 90), (6, 0, "x" * 119)] + [(7, i, None) for i in range(20)]
+    table = pa.table({"conv_id": pa.array([t[0] for t in turns], pa.int64()), "turn": pa.array([t[1] for t in turns], pa.int32()), "role": ["user"] * len(turns), "text": pa.array([t[2] for t in turns], pa.string())})
+    got = same_as_sql(spark, tmp_path, "clip_transcript", conversations=table)
+    assert [r["conv_id"] for r in got if r["seconds"] < 0] and [r for r in got if r["joined"] is None]

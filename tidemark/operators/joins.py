@@ -15,7 +15,9 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: float
 
     Both have the columns start and end besides ``keys``; the right's others are
     kept.  Intervals are dealt to cells of ``width``, so a key is not one task
-    and only neighbours meet; a pair counts in the cell of its later start.
+    and only neighbours meet; a pair counts in the cell of its later start.  An
+    interval that ends before it starts is touched by those that span it, and
+    the stretch is negative.
     """
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor(b / width).cast("long")))
     a = left.withColumn("__c", cells(F.col("start"), F.col("end")))
