@@ -35,3 +35,30 @@ def test_clip_transcript_of_short_and_silent_conversations(spark, tmp_path):
     table = pa.table({"conv_id": pa.array([t[0] for t in turns], pa.int64()), "turn": pa.array([t[1] for t in turns], pa.int32()), "role": ["user"] * len(turns), "text": pa.array([t[2] for t in turns], pa.string())})
     got = same_as_sql(spark, tmp_path, "clip_transcript", conversations=table)
     assert [r["conv_id"] for r in got if r["seconds"] < 0] and [r for r in got if r["joined"] is None]
+
+
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_similar_history_shuffles_no_pairs_before_they_are_candidates(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import backtest
+
+    rows = spark.range(2400).select("id", F.expr("concat('a', id % 3)").alias("account"), F.expr("concat('c', id % 2)").alias("category"), F.expr("concat('s', id % 700)").alias("song"), F.expr("transform(sequence(1, 40), i -> xxhash64(concat(id % 97 * i % 211, '-', i % 5)))").alias("tokens"))
+    held, train = rows.where("id % 6 = 0"), rows.where("id % 6 <> 0")
+
+    def found():
+        before = shuffled_bytes(spark)
+        got = {(r["target"], r["sample"]): r["similarity"] for r in backtest.similar_history(held, train, "id", "tokens", 20).collect()}
+        return got, shuffled_bytes(spark) - before
+
+    got, moved = found()
+    assert len(got) == 400 * 20 and moved < 5_500_000
+    for name, value in {"BLOCK_TOKENS": 9_000, "CHUNK_TOKENS": 3_000, "DENSE": 8, "FEW_VALUES": 2, "HELD_KINDS": 1}.items():
+        monkeypatch.setattr(backtest, name, value, raising=False)
+    assert found()[0] == got
