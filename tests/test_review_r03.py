@@ -62,3 +62,13 @@ def test_similar_history_shuffles_no_pairs_before_they_are_candidates(spark, mon
     for name, value in {"BLOCK_TOKENS": 9_000, "CHUNK_TOKENS": 3_000, "DENSE": 8, "FEW_VALUES": 2, "HELD_KINDS": 1}.items():
         monkeypatch.setattr(backtest, name, value, raising=False)
     assert found()[0] == got
+
+
+def test_evidence_rounds_halves_as_its_sql(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import rankers
+
+    x = 0.00015
+    say = lambda n: F.lit(x if n == "best" else 0.0)
+    assert duckdb.connect().execute(f"SELECT round({x}::DOUBLE, 4)").fetchone()[0] == spark.range(1).select(rankers.strength(say)).first()[0] == 0.0001
