@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidemark.functions.numbers import clamp, safe_ratio
 
@@ -208,18 +212,24 @@ def assets_first(df: DataFrame, has_asset: Column, label: str, reward: str, key:
     return both.orderBy(*order).limit(limit).drop("__kind", "__asset", "__reward", "__round")
 
 
-def _most(parts: Column) -> Column:
-    """How often the most frequent part stands in a list."""
-    step = lambda a, x: F.struct(x.alias("x"), F.when(a["x"] == x, a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["best"], F.when(a["x"] == x, a["n"] + 1).otherwise(1)).alias("best"))
-    return F.aggregate(F.array_sort(parts), F.struct(F.lit("").alias("x"), F.lit(0).alias("n"), F.lit(0).alias("best")), step, lambda a: a["best"])
+@F.pandas_udf(BooleanType())
+def _repeats(compact: pd.Series) -> pd.Series:
+    """Whether a text without spaces repeats itself; pieces of a text are counted in one pass each."""
+
+    def one(text: str) -> bool:
+        if len(text) < 32:
+            return False
+        for n in (1, 2, 3, 4):
+            parts = text if n == 1 else [text[i : i + n] for i in range(0, len(text) - n + 1, n)]
+            most = max(Counter(parts).values())
+            if n == 1 and most / len(text) >= 0.42 or most >= 8 and most / len(parts) >= 0.55:
+                return True
+        return False
+
+    return compact.map(one)
 
 
 def is_repetitive(text: Column) -> Column:
     """Of 32 characters or more, without spaces: one character makes up 42 %, or one piece of 1 to 4 characters 55 % of the pieces and stands 8 times."""
     compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    pieces = lambda n: F.regexp_extract_all(compact, F.lit(f"(?s).{{{n}}}"), F.lit(0))
-    out = _most(pieces(1)) / F.length(compact) >= 0.42
-    for n in (1, 2, 3, 4):
-        most = _most(pieces(n))
-        out |= (most >= 8) & (most / F.size(pieces(n)) >= 0.55)
-    return F.when(F.length(compact) < 32, False).otherwise(out)
+    return _repeats(compact)
