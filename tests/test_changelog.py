@@ -110,3 +110,19 @@ def test_memory_bank_computes_new_contents_only(spark, tmp_path):
     key = lambda df: sorted((r["id"], r["slot"], r["weight"]) for r in df.collect())
     assert key(corrections.bank_vectors(log)) == key(want)
     assert build(texts, force=True)["created"] == 6 and key(corrections.bank_vectors(log)) == key(want)
+
+
+def test_memory_bank_sends_no_text_to_be_named(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.texts import token_list
+    from tidemark.operators import corrections
+
+    def built(name, text, **how):
+        log = ChangeLog(spark, f"file://{tmp_path}/{name}", "id", {"id": "int", **corrections.MEMORY_FIELDS})
+        counts = [corrections.memory_bank(log, rows, "t", token_list(F.col("t")), **how) for rows in (text, text)]
+        return counts, sorted((r["id"], r["slot"], r["weight"]) for r in corrections.bank_vectors(log).collect())
+
+    rows = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(["one two", None, "", "one two", "three"])], "id int, t string, other string")
+    hashed = rows.withColumn("hash", F.sha2(F.coalesce("t", F.lit("")), 256))
+    assert built("named", hashed, content=F.col("hash")) == built("plain", rows)

@@ -40,6 +40,19 @@ def test_hashed_vector_of_known_tokens(spark):
     assert {r["slot"]: r["weight"] for r in got} == pytest.approx({int(i): want[i] for i in np.flatnonzero(want)})
 
 
+def test_hashed_vectors_shuffle_no_tokens(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [f"w{n}" * int(n % 4 + 1) for n in rng.integers(0, 40, i % 7)]) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, None), (61, ["é", "", "音"])], "id int, t array<string>").coalesce(2)
+    table = lambda x: sorted(tuple(r) for r in x.collect())
+    single = prototypes.hashed_vectors(df, "id", "t", single=True)
+    assert "Exchange" not in single._jdf.queryExecution().toString()
+    halves = df.select("id", F.expr("slice(t, 1, 2)").alias("t")).unionByName(df.select("id", F.expr("slice(t, 3, 9)").alias("t")))
+    whole = prototypes.hashed_vectors(df, "id", "t")
+    assert table(single) == table(whole) == table(prototypes.hashed_vectors(halves, "id", "t"))
+    assert {r["id"] for r in single.collect()} >= {61} and 60 not in {r["id"] for r in single.collect()}
+
+
 def test_repetition(spark):
     texts = [None, "", "aaaa", "a" * 40, "ab " * 20, "The quick brown fox jumps over the lazy dog again", "abcdefghij" * 5, "hahaha" * 8 + "xyz"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

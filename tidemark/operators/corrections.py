@@ -89,17 +89,23 @@ def linked_inserts(log: ChangeLog, rows: DataFrame, known: DataFrame, link: str,
 
 MEMORY_FIELDS = {"content_hash": "string", "batch": "string"}
 
+#: Keys of new texts that may be broadcast; they are counted first.
+FEW_TEXTS = 500_000
 
-def memory_bank(log: ChangeLog, rows: DataFrame, text: str, tokens: Column, force: bool = False) -> dict[str, int]:
+
+def memory_bank(log: ChangeLog, rows: DataFrame, text: str, tokens: Column, force: bool = False, content: Column | None = None) -> dict[str, int]:
     """Brings the bank of text vectors up to the rows: only contents without a vector are computed; returns created, reused, total.
 
     Vectors are kept by the hash of their content, so rows with equal texts
     share one; ``log`` has, for each key, the hash and the batch that holds its
     vector.  A batch that no row of the log names does not count, so a run that
-    fails halfway is simply run again.
+    fails halfway is simply run again.  ``content`` is the SHA-256 of the text
+    (null: empty) where rows have it: texts that are joined to others need not
+    travel to be named.
     """
     k = log.key
-    named = cut(rows.select(k, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_hash")))
+    content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256) if content is None else content
+    named = cut(rows.select(k, content.alias("content_hash")))
     held = log.current()
     fresh = named.join(held.select(k, "content_hash"), [k, "content_hash"], "left_semi") if not force else named.limit(0)
     old = held.groupBy("content_hash").agg(F.min("batch").alias("batch"))
@@ -107,8 +113,11 @@ def memory_bank(log: ChangeLog, rows: DataFrame, text: str, tokens: Column, forc
     batch = f"vectors/{uuid.uuid4().hex}"
     new = stale.where(F.col("batch").isNull())
     if not new.isEmpty():
-        one = rows.join(new.groupBy("content_hash").agg(F.min(k).alias(k)), k).select("content_hash", tokens.alias("__tokens"))
-        hashed_vectors(one, "content_hash", "__tokens").write.parquet(f"{log.folder}/{batch}")
+        keys = cut(new.groupBy("content_hash").agg(F.min(k).alias(k)))
+        few = keys.limit(FEW_TEXTS + 1).count() <= FEW_TEXTS
+        wanted = F.broadcast(keys.select(k)) if few else keys.select(k)
+        one = rows.join(wanted, k, "left_semi").join(keys, k).select("content_hash", tokens.alias("__tokens"))  # the rows' own joins see new texts only
+        hashed_vectors(one, "content_hash", "__tokens", single=True).write.parquet(f"{log.folder}/{batch}")
     log.merge(stale.select(k, "content_hash", F.coalesce("batch", F.lit(batch)).alias("batch")))
     total, created = named.count(), stale.count()
     return {"created": created, "reused": total - created, "total": total}

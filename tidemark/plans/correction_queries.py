@@ -139,10 +139,12 @@ def account_registry(spark, d):
 SELECT 0 AS run, total AS created, 0 AS reused, total FROM n UNION ALL SELECT 1, 0, total, total FROM n UNION ALL SELECT 2, changed, total - changed, total FROM n UNION ALL SELECT 3, 0, total, total FROM n""")
 def memory_bank(spark, d):
     log = _log(spark, "doc_id", {"doc_id": "long", **corrections.MEMORY_FIELDS})
-    docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
-    first = docs.select("doc_id", "text")
-    later = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("toxic") == 1, " more").otherwise("")).alias("text"))
-    runs = [corrections.memory_bank(log, rows, "text", texts.token_list(F.col("text"))) for rows in (first, first, later, later)]
+    text = F.coalesce("text", F.lit(""))
+    hashed = read(spark, d, "documents").select("doc_id", "text", F.sha2(text, 256).alias("plain"), F.sha2(F.concat(text, F.lit(" more")), 256).alias("longer"))
+    docs, more = hashed.join(read(spark, d, "labels"), "doc_id", "left"), F.col("toxic") == 1
+    first = docs.select("doc_id", "text", F.col("plain").alias("hash"))
+    later = docs.select("doc_id", F.concat(text, F.when(more, " more").otherwise("")).alias("text"), F.when(more, F.col("longer")).otherwise(F.col("plain")).alias("hash"))
+    runs = [corrections.memory_bank(log, rows, "text", texts.token_list(F.col("text")), content=F.col("hash")) for rows in (first, first, later, later)]
     return _runs(spark, runs, ["created", "reused", "total"])
 
 
