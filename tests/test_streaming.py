@@ -40,3 +40,29 @@ def test_compaction_of_kept_parts(spark, tmp_path):
         assert {r["account"] for r in baselines.compacted(spark, f"file://{tmp_path}", schema, ["account"]).collect()} == set(got)
         baselines.MOST_PARTS = kept
     assert [p.name for p in (tmp_path / "parts").iterdir() if not p.name.startswith(".")] == ["whole-000000004"]
+
+
+def test_an_account_is_read_and_written_once_a_batch():
+    """However many values it has; each call to the state store is a round trip."""
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802, ARG002
+            return Value()
+
+    counts = baselines._Counts(0.5)
+    counts.init(Handle())
+    for seen in (1, 2):
+        rows = [("a", cell, 2) for cell in [*range(1000), 7]]
+        (got,) = counts.handleInputRows(("a",), iter(rows), None)
+        assert (got["account"], got["n"], got["median"]) == ("a", 2002 * seen, 249.5)
+    assert calls == ["get", "update"] * 2
