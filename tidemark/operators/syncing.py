@@ -44,15 +44,18 @@ def synced(platform: Platform, run: str, account: str, load: Callable[[], DataFr
     done = {"run": run, "account": account, "status": "completed", "pulled": 0, "mapped": 0, "imported": 0, "linked": 0, "unlinked": 0, "error": ""}
     try:
         item = joined_digits(F.col("item"))
-        rows = cut(load().select(item.alias("item"), F.coalesce("window", F.lit("final")).alias("window"), F.trim("target").alias("target"), metric_number(F.col("value")).cast("double").alias("value")).where(F.coalesce("item", F.lit("")) != ""))
+        rows = load().select(item.alias("item"), F.coalesce("window", F.lit("final")).alias("window"), F.trim("target").alias("target"), metric_number(F.col("value")).cast("double").alias("value")).where(F.coalesce("item", F.lit("")) != "")
+        # a link follows from item and target alone, so rows that share them and the window are one from here on, and blank targets don't meet in one task
+        place = F.coalesce("value", F.lit(-1.0))
+        rows = cut(rows.groupBy("item", "window", "target").agg(F.count("*").alias("n"), F.max("value").alias("value"), F.max(place).alias("place")))
         named = rows.groupBy("item").agg(F.max(F.nullif(F.col("target"), F.lit(""))).alias("target"))
         registered(platform.mappings, named, {})
         mappings = platform.mappings.current(named.select("item"))
         ids = known.select(F.col(known_id).cast("string").alias("id"))
         linked = cut(resolve_link(rows, "target", ids, "id", mappings, "item", "target"))
-        best = linked.groupBy("item", "window").agg(F.max_by("link", F.struct(F.coalesce("value", F.lit(-1.0)), F.coalesce("link", F.lit("")))).alias("target"), F.max("value").alias("value"))
+        best = linked.groupBy("item", "window").agg(F.max_by("link", F.struct("place", F.coalesce("link", F.lit("")))).alias("target"), F.max("value").alias("value"))
         counts = platform.metrics.merge(best.select(F.concat_ws("|", "item", "window").alias("item_window"), "*"))
-        sums = linked.agg(F.count("*").alias("n"), F.count("link").alias("linked")).first()
+        sums = linked.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (("n", F.col("n")), ("linked", F.when(F.col("link").isNotNull(), F.col("n"))))]).first()
         done |= {"pulled": sums["n"], "mapped": named.where(F.col("target").isNotNull()).count(), "imported": counts.get("created", 0) + counts.get("updated", 0), "linked": sums["linked"], "unlinked": sums["n"] - sums["linked"]}
         done["status"] = "empty" if not sums["n"] else "completed_with_warnings" if done["unlinked"] else "completed"
     except Exception as e:  # the log tells of every run
