@@ -72,3 +72,53 @@ def test_evidence_rounds_halves_as_its_sql(spark):
     x = 0.00015
     say = lambda n: F.lit(x if n == "best" else 0.0)
     assert duckdb.connect().execute(f"SELECT round({x}::DOUBLE, 4)").fetchone()[0] == spark.range(1).select(rankers.strength(say)).first()[0] == 0.0001
+
+
+def test_a_run_shuffles_each_target_of_an_item_once_and_asked_ids_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import syncing
+
+    rows = spark.range(60_000).select(F.expr("concat('ID:99', lpad(id % 30, 10, '0'))").alias("item"), F.expr("concat('w', id % 2)").alias("window"), F.expr("CASE id % 3 WHEN 0 THEN cast(id % 30 AS string) WHEN 1 THEN ' ' END").alias("target"), F.expr("cast(id AS string)").alias("value"))
+    known = spark.range(5, 400_000)
+    platform = syncing.Platform.below(spark, f"file://{tmp_path}/p")
+    before = shuffled_bytes(spark)
+    done = syncing.synced(platform, "run", "main", lambda: rows, known, "id")
+    moved = shuffled_bytes(spark) - before
+    assert done == {"run": "run", "account": "main", "status": "completed_with_warnings", "pulled": 60_000, "mapped": 10, "imported": 30, "linked": 16_000, "unlinked": 44_000, "error": ""}
+    assert moved < 100_000, moved
+
+
+def test_runs_over_odd_cells_equal_a_plain_count(spark, tmp_path):
+    import random
+
+    from tidemark.operators import syncing
+
+    rng, known = random.Random(14), {"3", "4", "5", "7 "}
+    platform = syncing.Platform.below(spark, f"file://{tmp_path}/p")
+    ids = spark.createDataFrame([(i,) for i in [*sorted(known), "3", None]], "id string")
+    items = ["1234567890", "ID 12-3456-7890", " 99 0000000001", "123", "", None, "x9900000000001"]
+    mapped, kept = {}, {}
+    for run in range(2):
+        cells = [(rng.choice(items), rng.choice(["w0", "", None]), rng.choice([None, "", " ", " 3 ", "4", "5", "6", "7 ", "8"]), rng.choice([None, "", "abc", "1,000", "2%", "1.2万", "3", "-7", "0"])) for _ in range(90 if run else 12)]
+        done = syncing.synced(platform, f"run{run}", "main", lambda cells=cells: spark.createDataFrame(cells, "item string, window string, target string, value string"), ids, "id")
+        clean = []
+        for item, window, target, value in cells:
+            digits = "".join(c for c in item or "" if c.isdigit())
+            number = {"1,000": 1000.0, "2%": 2.0, "1.2万": 12000.0, "3": 3.0, "-7": -7.0, "0": 0.0}.get(value)
+            if len(digits) >= 10:
+                clean.append((digits, "final" if window is None else window, (target or "").strip(" "), number))
+        named = {i: max(t for j, _, t, _ in clean if j == i) for i, *_ in clean}
+        mapped |= {i: t for i, t in named.items() if t}
+        linked = [(i, w, t if t in known else mapped.get(i) if mapped.get(i) in known else None, v) for i, w, t, v in clean]
+        imported = 0
+        for key in {(i, w) for i, w, *_ in linked}:
+            here = [(-1.0 if v is None else v, link or "", v) for i, w, link, v in linked if (i, w) == key]
+            target, value = max(here, key=lambda x: x[:2])[1], max((v for *_, v in here if v is not None), default=None)
+            old = kept.get(key)
+            imported += old is None or (target != "" and target != old[0]) or (value is not None and value != old[1])
+            kept[key] = (target or (old[0] if old else None), value if value is not None else (old[1] if old else None))
+        n, hit = len(linked), sum(link is not None for _, _, link, _ in linked)
+        assert done == {"run": f"run{run}", "account": "main", "status": "completed_with_warnings" if hit < n else "completed", "pulled": n, "mapped": sum(t != "" for t in named.values()), "imported": imported, "linked": hit, "unlinked": n - hit, "error": ""}
+        assert {(r["item"], r["window"]): (r["target"], r["value"]) for r in platform.metrics.current().collect()} == kept
+        assert {r["item"]: r["target"] for r in platform.mappings.current().collect() if r["target"]} == mapped

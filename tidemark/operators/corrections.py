@@ -72,6 +72,8 @@ def registered(log: ChangeLog, rows: DataFrame, defaults: dict[str, str], order:
     kinds = dict(rows.dtypes)
     named = [F.when(F.lit(True), filled(c) if kinds[c] == "string" else F.col(c)).alias(c) for c in rows.columns if c != k]
     counts = log.merge(rows.select(k, *named, *[o.alias(f"__o{i}") for i, o in enumerate(order)]), order=[F.col(f"__o{i}") for i in range(len(order))])
+    if not defaults:
+        return counts
     lacking = [F.when(F.col(c).isNull(), F.lit(v)).alias(c) for c, v in defaults.items()]
     keys = rows.select(k).where(F.col(k).isNotNull()).distinct()
     log.merge(log.current(keys).select(k, *lacking), "update", reason="defaults")
