@@ -212,11 +212,15 @@ def rough_ranks(candidates: DataFrame, cues: Cues, audience: list[str], sponsors
     df = candidates.withColumns({"quality": text_quality(said), "__sponsors": texts.keyword_hits(said, sponsors), "__latin": latin_share(said), "__repeats": quality.is_repetitive(said), **{f"__{c}": cues[c](said) for c in CUES}})
     df = df.withColumns({"__ctx": F.col("__context") | F.col("__story"), "__seen": F.col("__reaction") | texts.contains_any(said, audience), "__d": F.col("end") - F.col("start")})
     c, points = (lambda n: F.col(f"__{n}")), (lambda test, name, other=0: F.when(test, RANK[name]).otherwise(other))
-    score = points(c("ctx") & c("music") & c("reaction"), "whole_arc") + points(c("ctx") & c("music"), "context_music") + points(c("music") & c("reaction"), "music_reaction") + points(c("suspense") | c("story"), "suspense_story")
-    score += F.least(F.lit(RANK["longest_text"]), F.length(texts.blank(said)) / RANK["text_per_point"]) + F.when(c("d").between(18, 55), RANK["fits"]).when(c("d").between(12, 75), RANK["near"]).otherwise(RANK["misfit"])
-    score += F.col("quality") * RANK["quality"] - F.least(F.lit(RANK["sponsor_most"]), c("sponsors") * RANK["sponsor"]) + points((c("sponsors") >= 2) & ~(c("seen") | c("suspense")), "sponsor_alone")
     latin = points(~(c("ctx") | c("seen") | c("suspense")), "latin_alone", RANK["latin"]) + points((c("d") < 24) & ~c("seen"), "latin_short")
-    score += F.when(c("latin") >= 0.55, latin).otherwise(0) + points(c("repeats"), "repeats") + points(F.col("quality") < 0.35, "thin")
+    terms = [
+        points(c("ctx") & c("music") & c("reaction"), "whole_arc"), points(c("ctx") & c("music"), "context_music"), points(c("music") & c("reaction"), "music_reaction"), points(c("suspense") | c("story"), "suspense_story"),
+        F.least(F.lit(RANK["longest_text"]), F.length(texts.blank(said)) / RANK["text_per_point"]), F.when(c("d").between(18, 55), RANK["fits"]).when(c("d").between(12, 75), RANK["near"]).otherwise(RANK["misfit"]),
+        F.col("quality") * RANK["quality"], -F.least(F.lit(RANK["sponsor_most"]), c("sponsors") * RANK["sponsor"]), points((c("sponsors") >= 2) & ~(c("seen") | c("suspense")), "sponsor_alone"),
+        F.when(c("latin") >= 0.55, latin).otherwise(0), points(c("repeats"), "repeats"), points(F.col("quality") < 0.35, "thin"),
+    ]
+    # one term after the other, as the SQL has them: another order has other last digits, and so other ties
+    score = reduce(lambda total, term: total + term, terms)
     gone = c("repeats") | (c("sponsors") >= 4) | (F.col("quality") < 0.22)
     return df.withColumns({"rough_rank": score.cast("double"), "discarded": gone}).select(*candidates.columns, "quality", "rough_rank", "discarded")
 
